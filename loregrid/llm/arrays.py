@@ -115,7 +115,7 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     width = min(n, k)
     w = weights(k + 1)
-    total = np.full(n - width + 1, w[k] * np.uint64(width), np.uint64)
+    total = np.full(n - width + 1, width, np.uint64) * w[k]
     for j in range(width):
         total += hashes[j : n - width + 1 + j] * w[j]
     return mix64(total)
