@@ -51,7 +51,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     kept, sentence = np.unique(part, return_inverse=True)
     end = stops[np.minimum(kept, len(stops) - 1)] if len(kept) else np.zeros(0, np.int64)
     row = np.searchsorted(offsets, starts[np.searchsorted(sentence, np.arange(len(kept)))], "right") - 1 if len(kept) else np.zeros(0, np.int64)
-    return np.stack([whole, *heads], axis=1).astype(np.int64), sentence, row, end
+    return np.stack([whole, *heads], axis=1).astype(np.int32), sentence, row, end
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -82,9 +82,9 @@ def fit(texts: list[str], labels: list[int], rounds: int = 80, rate: float = 0.3
     buckets, sentence, row = (np.concatenate([p[k] for p in parts]) for k in range(3))
     width = buckets.shape[1]
     used, buckets = np.unique(buckets, return_inverse=True)
-    buckets = buckets.reshape(-1, width)
+    buckets = buckets.reshape(-1, width).astype(np.int32)
     # In how many documents of each class a feature stands; their log-odds are the first weights.
-    doc_feature = np.unique(np.repeat(row[sentence], width) * len(used) + buckets.ravel())
+    doc_feature = np.unique(np.repeat(row[sentence], width) * len(used) + buckets.ravel())  # int64
     of, feature = doc_feature // len(used), doc_feature % len(used)
     toxic, clean = (np.bincount(feature[y[of] == k], minlength=len(used)) for k in (1, 0))
     open_ = toxic + clean >= MIN_DOCS
@@ -124,12 +124,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # The ids are chosen among the labels, twice as many as needed since some are of no or of long texts.
     wanted = [one.filter(F.col("y") == y).orderBy(order, "id").limit(2 * sample) for y in (0, 1)]
     ids = wanted[0].unionByName(wanted[1])  # at most 4 * sample rows
-    rows = text.join(F.broadcast(ids), "id").dropDuplicates(["id"])
-    rows = rows.orderBy(order, "id").limit(4 * sample).collect()
-    chosen: list = []
-    for y in (0, 1):
-        chosen += [r for r in rows if r["y"] == y][:sample]
-    return fit([r["text"] for r in chosen], [r["y"] for r in chosen])
+    rows = text.join(F.broadcast(ids), "id").groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
+    of = [rows.filter(F.col("y") == y).orderBy(order, "id").limit(sample).select("text", "y") for y in (1, 0)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            labels += b.column(1).to_pylist()
+        model = fit(texts, labels)
+        yield pa.record_batch([pa.array([model["w"].astype("<f8").tobytes()]), pa.array([model["bias"]])], names=["w", "bias"])
+
+    # The sample is fitted in one task, which the scheduler repeats if its executor is lost; the driver gets the weights.
+    got = of[0].unionByName(of[1]).coalesce(1).mapInArrow(run, "w binary, bias double").first()
+    return {"w": np.frombuffer(got["w"], "<f8"), "bias": got["bias"]} if got else fit([], [])
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
