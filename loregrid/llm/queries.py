@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loregrid.llm import chat, ngram_join, sharding, token_counts, toxicity, vp_search
+from loregrid.llm import chat, ngram_join, pii, sharding, token_counts, toxicity, vp_search
 from loregrid.llm.io import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
@@ -54,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_join, op4_token_counts, op5_vp_search, op7_chat_format, op8_sharding, op10_toxicity)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_pii, op4_token_counts, op5_vp_search, op7_chat_format, op8_sharding, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
