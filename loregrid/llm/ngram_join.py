@@ -35,12 +35,16 @@ SKETCH_BITS, FILTER_BITS, FRAGMENTS = 18, 23, 8
 _MAPS = ["m0", "m1", "m2", "m3"]
 
 
-def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct n-gram hashes of each text."""
-    for _, _, data, offsets in sliced(plain(texts)):
+def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first row, end row, the sorted distinct n-gram hashes of each text): slices of a bounded number of bytes."""
+    for i, j, data, offsets in sliced(plain(texts)):
         hashes, at = words(data, offsets)
-        for row in split_rows(hashes, at):
-            yield np.unique(shingles(row, k))
+        yield i, j, [np.unique(shingles(row, k)) for row in split_rows(hashes, at)]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate([*arrays, np.zeros(0, np.int64)])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat))
 
 
 def _set_id(u: np.ndarray) -> int:
@@ -54,8 +58,8 @@ def _counts(rows: DataFrame, k: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            for u in _sets(b.column(2), k):
-                np.add.at(total, (u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            for _, _, sets in _sets(b.column(2), k):
+                np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
 
@@ -76,28 +80,19 @@ def _described(rows: DataFrame, k: int, percent: int, counts: np.ndarray) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
         for b in batches:
-            n, sid, maps, score, prefix = [], [], [], [], []
-            for u in _sets(b.column(2), k):
-                n.append(len(u))
-                if len(u) == 0:
-                    sid.append(None)
-                    maps.append(np.zeros(4, np.int64))
-                    score.append(0.0)
-                    prefix.append(np.zeros(0, np.int64))
-                    continue
-                c = weight[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                first = np.lexsort((u, c))[: len(u) - -(-percent * len(u) // 100) + 1]
-                sid.append(_set_id(u))
-                maps.append(np.packbits(np.bincount((u & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64))
-                score.append(float(c.mean()))
-                prefix.append(_signed(u[first]))
-            table = np.stack(maps) if maps else np.zeros((0, 4), np.int64)
-            flat = np.concatenate([*prefix, np.zeros(0, np.int64)])
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(flat))
-            yield pa.record_batch(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), *(pa.array(table[:, i].copy()) for i in range(4)), pa.array(score, pa.float64()), lists],
-                names=["id", "n", "sid", *_MAPS, "score", "prefix"],
-            )
+            for i, j, sets in _sets(b.column(2), k):
+                sid, maps, score, prefix = [], np.zeros((j - i, 4), np.int64), [], []
+                for r, u in enumerate(sets):
+                    c = weight[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    first = np.lexsort((u, c))[: len(u) - -(-percent * len(u) // 100) + 1]
+                    sid.append(_set_id(u) if len(u) else None)
+                    maps[r] = np.packbits(np.bincount((u & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64)
+                    score.append(float(c.mean()) if len(u) else 0.0)
+                    prefix.append(_signed(u[first]))
+                yield pa.record_batch(
+                    [b.column(0).slice(i, j - i), pa.array([len(u) for u in sets], pa.int64()), pa.array(sid, pa.int64()), *(pa.array(maps[:, m].copy()) for m in range(4)), pa.array(score, pa.float64()), _lists(prefix)],
+                    names=["id", "n", "sid", *_MAPS, "score", "prefix"],
+                )
 
     return rows.mapInArrow(run, "id long, n long, sid long, m0 long, m1 long, m2 long, m3 long, score double, prefix array<long>")
 
@@ -123,18 +118,18 @@ def _segments(rows: DataFrame, k: int, keep: np.ndarray) -> DataFrame:
             key = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
             on = (bits[(key >> np.uint64(6)).astype(np.int64)] >> (key & np.uint64(63))) & np.uint64(1)
             some = b.column(2).filter(pa.array(on.astype(bool)))
-            sid, fragment, grams = [], [], []
-            for u in _sets(some, k):
-                if len(u) == 0:
-                    continue
-                s, edges = _set_id(u), np.searchsorted(u >> shift, np.arange(FRAGMENTS + 1, dtype=np.uint64))
-                for f in range(FRAGMENTS):
-                    if edges[f] < edges[f + 1]:
-                        sid.append(s)
-                        fragment.append(f)
-                        grams.append(_signed(u[edges[f] : edges[f + 1]]))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, grams)]), pa.int32()), pa.array(np.concatenate([*grams, np.zeros(0, np.int64)])))
-            yield pa.record_batch([pa.array(sid, pa.int64()), pa.array(fragment, pa.int32()), lists], names=["sid", "fragment", "grams"])
+            for _, _, sets in _sets(some, k):
+                sid, fragment, grams = [], [], []
+                for u in sets:
+                    if len(u) == 0:
+                        continue
+                    s, edges = _set_id(u), np.searchsorted(u >> shift, np.arange(FRAGMENTS + 1, dtype=np.uint64))
+                    for f in range(FRAGMENTS):
+                        if edges[f] < edges[f + 1]:
+                            sid.append(s)
+                            fragment.append(f)
+                            grams.append(_signed(u[edges[f] : edges[f + 1]]))
+                yield pa.record_batch([pa.array(sid, pa.int64()), pa.array(fragment, pa.int32()), _lists(grams)], names=["sid", "fragment", "grams"])
 
     return rows.mapInArrow(run, "sid long, fragment int, grams array<long>").dropDuplicates(["sid", "fragment"])
 

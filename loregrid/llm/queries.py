@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loregrid.llm import chat, ngram_join, pii, sharding, token_counts, toxicity, vp_search
+from loregrid.llm import chat, decontaminate, line_templates, ngram_join, pii, sentence_pieces, sharding, token_counts, toxicity, vp_search
 from loregrid.llm.io import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the items that it holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.transform("hits", lambda h: h["item_id"].cast("string")), ",")
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), items.alias("items"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
@@ -40,6 +48,11 @@ def op5_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20, factor=1.0)
 
 
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_pieces.encode(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_pieces", "pieces", "round_trip")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -51,6 +64,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -58,7 +76,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_pii, op4_token_counts, op5_vp_search, op7_chat_format, op8_sharding, op10_toxicity)}
+    every = (op1_ngram_join, op2_pii, op3_decontaminate, op4_token_counts, op5_vp_search, op6_sentence_pieces, op7_chat_format, op8_sharding, op9_line_templates, op10_toxicity)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
