@@ -1 +1 @@
-"""Part of loregrid."""
+"""Sources of documents: files of many formats, parsed in Arrow batches into rows."""
