@@ -12,14 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, small: bool = False) -> DataFrame:
     """A reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
 
     Only where the setting is absent and the master is local, as in tests, a folder of this machine is set.
+    A table that is ``small`` beside the input is written in an eighth of the shuffle partitions, eight at least.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    if small:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     return df.checkpoint()
 
 
