@@ -61,7 +61,7 @@ class FilterSet:
 
     def labels(self) -> list[str]:
         """What is filtered, in words, in a fixed order."""
-        day = lambda t: t if isinstance(t, str) else t.strftime("%Y-%m-%d")
+        day = lambda t: t.strftime("%Y-%m-%d") if isinstance(t, datetime) else t
         rows = [("source", self.sources), ("tag", self.tags), ("-tag", self.excluded_tags), ("collection", self.collections), ("path", self.paths), ("domain", self.domains), ("kind", self.kinds)]
         out = [f"{name}:{v}" for name, values in rows for v in values]
         out += [f"after:{day(self.after)}"] * bool(self.after) + [f"before:{day(self.before)}"] * bool(self.before)

@@ -1 +1 @@
-"""Part of loregrid."""
+"""Structured Streaming: watched files."""
