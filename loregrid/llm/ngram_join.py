@@ -8,8 +8,8 @@ into segments, a pair's overlap is counted in each fragment apart, and the parti
 
 Documents of equal sets are one class. To keep large groups of near copies linear, meetings are checked
 first against one central document of each n-gram's group; only meetings between what is still in
-different components are then listed, each at its smallest common n-gram. No link is lost: a pair that is
-not listed is in one component already.
+different components are then listed. No link is lost: a pair that is not listed is in one component
+already.
 
 Defined results: words are runs of other characters than blanks (U+0020, U+0009 to U+000D), A-Z lower-
 cased; a text of fewer than ``k`` words has itself as its only n-gram; null and empty texts and texts
@@ -33,6 +33,8 @@ from loregrid.llm.io import cut
 #: Counters of the sketch, bits of the filter of wanted documents, fragments of the global order: fixed sizes.
 SKETCH_BITS, FILTER_BITS, FRAGMENTS = 18, 23, 8
 _MAPS = ["m0", "m1", "m2", "m3"]
+#: Sets from this size on have a second bitmap, of so many bits: 256 say little about them.
+LARGE, LARGE_BITS = 900, 4096
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -42,6 +44,12 @@ def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]
         yield i, j, [np.unique(shingles(row, k)) for row in split_rows(hashes, at)]
 
 
+def _bitmap(u: np.ndarray, bits: int) -> np.ndarray:
+    """Which of ``bits`` buckets hold an odd number of the n-grams, as longs."""
+    odd = np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     flat = np.concatenate([*arrays, np.zeros(0, np.int64)])
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat))
@@ -74,27 +82,28 @@ def _signed(u: np.ndarray) -> np.ndarray:
 
 
 def _described(rows: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(id, n, sid, m0..m3, score, prefix) of each row; sid is null without n-grams."""
+    """(id, n, sid, m0..m3, score, prefix, large) of each row; sid is null without n-grams, large empty for smaller sets."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
         for b in batches:
             for i, j, sets in _sets(b.column(2), k):
-                sid, maps, score, prefix = [], np.zeros((j - i, 4), np.int64), [], []
+                sid, maps, score, prefix, large = [], np.zeros((j - i, 4), np.int64), [], [], []
                 for r, u in enumerate(sets):
                     c = weight[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     first = np.lexsort((u, c))[: len(u) - -(-percent * len(u) // 100) + 1]
                     sid.append(_set_id(u) if len(u) else None)
-                    maps[r] = np.packbits(np.bincount((u & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64)
+                    maps[r] = _bitmap(u, 256)
+                    large.append(_bitmap(u, LARGE_BITS) if len(u) >= LARGE else np.zeros(0, np.int64))
                     score.append(float(c.mean()) if len(u) else 0.0)
                     prefix.append(_signed(u[first]))
                 yield pa.record_batch(
-                    [b.column(0).slice(i, j - i), pa.array([len(u) for u in sets], pa.int64()), pa.array(sid, pa.int64()), *(pa.array(maps[:, m].copy()) for m in range(4)), pa.array(score, pa.float64()), _lists(prefix)],
-                    names=["id", "n", "sid", *_MAPS, "score", "prefix"],
+                    [b.column(0).slice(i, j - i), pa.array([len(u) for u in sets], pa.int64()), pa.array(sid, pa.int64()), *(pa.array(maps[:, m].copy()) for m in range(4)), pa.array(score, pa.float64()), _lists(prefix), _lists(large)],
+                    names=["id", "n", "sid", *_MAPS, "score", "prefix", "large"],
                 )
 
-    return rows.mapInArrow(run, "id long, n long, sid long, m0 long, m1 long, m2 long, m3 long, score double, prefix array<long>")
+    return rows.mapInArrow(run, "id long, n long, sid long, m0 long, m1 long, m2 long, m3 long, score double, prefix array<long>, large array<long>")
 
 
 def _wanted(keys: DataFrame) -> np.ndarray:
@@ -131,7 +140,7 @@ def _segments(rows: DataFrame, k: int, keep: np.ndarray) -> DataFrame:
                             grams.append(_signed(u[edges[f] : edges[f + 1]]))
                 yield pa.record_batch([pa.array(sid, pa.int64()), pa.array(fragment, pa.int32()), _lists(grams)], names=["sid", "fragment", "grams"])
 
-    return rows.mapInArrow(run, "sid long, fragment int, grams array<long>").dropDuplicates(["sid", "fragment"])
+    return rows.mapInArrow(run, "sid long, fragment int, grams array<long>")
 
 
 def _may_link(percent: int) -> F.Column:
@@ -141,14 +150,25 @@ def _may_link(percent: int) -> F.Column:
     return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (apart * (100 + percent) <= (nx + ny) * (100 - percent))
 
 
+def _not_apart(pairs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) without those of large sets whose large bitmaps rule a link out."""
+    of = lambda end: one.filter(F.size("large") > 0).select(F.col("sid").alias(end), F.col("large").alias(f"l{end}")).hint("shuffle_hash")
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = F.aggregate(F.zip_with("la", "lb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    fine = F.col("la").isNull() | F.col("lb").isNull() | (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    return both.filter(fine).select("a", "b", "na", "nb").distinct()
+
+
 def _linked(rows: DataFrame, pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) of set ids that link, as (a, b): overlaps counted in each fragment and summed."""
-    pairs = cut(pairs)
+    pairs = cut(pairs, small=True)
     sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     segments = _segments(rows, k, _wanted(sids.join(members, "sid").select(F.xxhash64("rep").alias("key"))))
     left = segments.select(F.col("sid").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = segments.select(F.col("sid").alias("b"), "fragment", F.col("grams").alias("gb"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "fragment", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
+    # A document that is there twice has its segments twice: a fragment counts once.
+    partial = partial.groupBy("a", "b", "fragment").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("part").alias("part"))
     both = partial.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("part").alias("both"))
     return both.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
@@ -159,33 +179,33 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     told = cut(_described(rows, k, percent, _counts(rows, k)))
     real = told.filter("sid is not null")
     members = real.groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), *(F.max(m).alias(m) for m in _MAPS))
-    one = real.join(members.select(F.col("rep").alias("id")), "id", "left_semi")  # a document of each set, found by its own id
+    one = real.join(members.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi")  # a document of each set, found by its own id
 
     grams = one.select("sid", "score", F.explode("prefix").alias("gram")).repartition("gram")
-    groups = grams.groupBy("gram").agg(F.max(F.struct("score", "sid")).alias("best"), F.min("sid").alias("low"), F.max("sid").alias("high"))
-    met = cut(grams.join(groups.filter("low <> high"), "gram").select("gram", "sid", F.col("best.sid").alias("center")).distinct())
+    groups = grams.groupBy("gram").agg(F.max_by("sid", "score").alias("center"), F.min("sid").alias("low"), F.max("sid").alias("high"))
+    met = cut(grams.join(groups.filter("low <> high").hint("shuffle_hash"), "gram").select("gram", "sid", "center").distinct())
 
     info = members.select("sid", "n", *_MAPS)
     star = met.filter("sid <> center").select(F.least("sid", "center").alias("a"), F.greatest("sid", "center").alias("b")).distinct()
-    star = star.join(info.select(F.col("sid").alias("a"), F.struct("n", *_MAPS).alias("x")), "a").join(info.select(F.col("sid").alias("b"), F.struct("n", *_MAPS).alias("y")), "b")
+    star = star.join(info.select(F.col("sid").alias("a"), F.struct("n", *_MAPS).alias("x")).hint("shuffle_hash"), "a").join(info.select(F.col("sid").alias("b"), F.struct("n", *_MAPS).alias("y")).hint("shuffle_hash"), "b")
     star = star.filter(_may_link(percent)).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    links = cut(_linked(rows, star, members, k, percent))
-    found = cut(components(links))
+    found = components(_linked(rows, _not_apart(star, one, percent), members, k, percent))
 
     # What is left: n-grams that documents of several components have in their prefixes.
-    placed = met.select("gram", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    placed = met.select("gram", "sid").join(found.withColumnRenamed("node", "sid").hint("shuffle_hash"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     open_ = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gram")
-    placed = placed.join(open_, "gram")
-    lists = placed.groupBy("sid").agg(F.collect_set("gram").alias("grams"))
-    wide = cut(placed.join(lists, "sid").join(info, "sid"))
+    wide = placed.join(open_.hint("shuffle_hash"), "gram", "left_semi").join(info.hint("shuffle_hash"), "sid").repartition("gram")
     meets = wide.alias("x").join(
         wide.alias("y"),
-        (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & _may_link(percent)
-        & (F.array_min(F.array_intersect("x.grams", "y.grams")) == F.col("x.gram")),
+        (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & _may_link(percent),
     )
     rest = meets.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    more = _linked(rows, rest.distinct(), members, k, percent)
-    final = components(links.unionByName(more)).withColumnRenamed("node", "sid")
+    more = _linked(rows, _not_apart(rest.distinct(), one, percent), members, k, percent)
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(more)  # of components
+    final = found.unionByName(joined.select("node", F.col("node").alias("component"))).distinct().join(joined.select(F.col("node").alias("component"), F.col("component").alias("upper")), "component", "left")
+    final = final.select(F.col("node").alias("sid"), F.coalesce("upper", "component").alias("component")).groupBy("sid").agg(F.min("component").alias("component"))
 
     named = members.select("sid", "rep").join(final, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
