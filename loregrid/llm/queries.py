@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loregrid.llm import chat, decontaminate, line_templates, ngram_join, pii, sentence_pieces, sharding, token_counts, toxicity, vp_search
 from loregrid.llm.io import table
+from loregrid.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,4 +82,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
