@@ -140,7 +140,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def headings(x: Column) -> Column:
-    return F.transform(F.regexp_extract_all(x, F.lit(r"(?m)^#{1,6}\s+(.+)$"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(x, F.lit(r"(?m)^#{1,6}\s+(.+)$"), F.lit(1)), lambda h: F.trim(h))
 
 
 def hash_tags(x: Column) -> Column:
@@ -191,6 +191,13 @@ def human_size(n: Column) -> Column:
     return out
 
 
+def cut_bytes(x: Column, size: int) -> Column:
+    """The longest prefix of at most ``size`` bytes that ends between characters."""
+    raw = F.encode(x, "UTF-8")
+    heads = [F.substring(raw, 1, size - back).cast("string") for back in range(4) if size > back]
+    return F.when(F.octet_length(x) <= size, x).otherwise(F.coalesce(*(F.when(F.is_valid_utf8(h), h) for h in heads), F.lit("")))
+
+
 def bounded_map(m: Column, keys: int = 50, size: int = 1024) -> Column:
     """The first ``keys`` entries by key, values cut to ``size`` characters."""
     return F.map_from_entries(F.transform(F.slice(F.array_sort(F.map_entries(m)), 1, keys), lambda e: F.struct(e["key"], F.substring(e["value"], 1, size))))

@@ -751,6 +751,49 @@ def languages(spark, d):
     return documents(spark, d).groupBy(ext.alias("ext"), F.coalesce(language(F.col("path")), F.when(ext == "md", "markdown"), F.lit("")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_NOTE = "'# ' || title || chr(10) || 'x #' || lang || ' [[' || source || ']] [x](' || path || ')'"
+
+
+@query(f"""WITH {DOCS}, n AS (SELECT id, {_NOTE} AS t FROM docs) SELECT id, array_to_string(list_distinct(regexp_extract_all(t, '(?:^|\\s)#([a-zA-Z][a-zA-Z0-9_-]*)', 1)), ',') AS tags,
+  array_to_string(regexp_extract_all(t, '\\[\\[([^\\]]+)\\]\\]', 1), ',') AS wiki, array_to_string(regexp_extract_all(t, '\\[([^\\]]+)\\]\\(([^)]+)\\)', 2), ',') AS links, trim(regexp_extract(t, '(?m)^(#{{1,6}})\\s+(.+)$', 2)) AS heading FROM n""")
+def markdown_parts(spark, d):
+    note = F.concat(F.lit("# "), "title", F.lit("\nx #"), "lang", F.lit(" [["), "source", F.lit("]] [x]("), "path", F.lit(")"))
+    n = documents(spark, d).select("id", note.alias("t"))
+    t = F.col("t")
+    return n.select("id", F.array_join(T.hash_tags(t), ",").alias("tags"), F.array_join(T.wiki_links(t), ",").alias("wiki"), F.array_join(T.markdown_links(t), ",").alias("links"), F.get(T.headings(t), 0).alias("heading"))
+
+
+@query(f"WITH {DOCS} SELECT id, source AS name, lang || ', x' AS tags FROM docs")
+def frontmatter_fields(spark, d):
+    raw = F.concat(F.lit('---\nname: "'), "source", F.lit('"\ntags: ['), "lang", F.lit(", x]\nnone:\n---\n"), "content")
+    return documents(spark, d).select("id", T.frontmatter(raw).alias("m")).select("id", F.col("m")["name"].alias("name"), F.col("m")["tags"].alias("tags"))
+
+
+@query(f"WITH {DOCS} SELECT id, substring(content, 1, list_max(list_filter(range(0, 101), lambda k: strlen(substring(content, 1, k)) <= 100))) AS head FROM docs")
+def bounded_bytes(spark, d):
+    return documents(spark, d).select("id", T.cut_bytes(F.col("content"), 100).alias("head"))
+
+
+@query("SELECT conv_id, row_number() OVER (ORDER BY max(turn) DESC, lower('S' || conv_id), conv_id) AS place FROM conversations GROUP BY conv_id ORDER BY place LIMIT 50")
+def sessions_listed(spark, d):
+    s = read(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("updated"))
+    order = [F.desc("updated"), F.lower(F.concat(F.lit("S"), F.col("conv_id").cast("string"))), F.col("conv_id")]
+    return s.orderBy(*order).limit(50).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("conv_id", "place")
+
+
+@query(f"WITH {DOCS}, top AS (SELECT content, row_number() OVER (ORDER BY modified_at DESC, id) AS p FROM docs ORDER BY p LIMIT 5) SELECT string_agg('--- Document ' || p || ' ---' || chr(10) || substring(content, 1, 1000), chr(10) || chr(10) ORDER BY p) AS prompt FROM top")
+def prompt_contexts(spark, d):
+    top = documents(spark, d).orderBy(F.desc("modified_at"), "id").limit(5)
+    rows = answers.contexts(top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("modified_at"), "id"))))
+    return rows.agg(answers.prompt_contexts(rows).alias("prompt"))
+
+
+@query(f"""WITH {DOCS}, {_TAGJ.split('tagj AS')[0].rstrip().rstrip(',')}, b AS (SELECT o.id, list_sort(list(o.v)) AS vs FROM one o JOIN own USING (v) WHERE o.id <> '4' GROUP BY o.id) SELECT id, 'shared tags: ' || array_to_string(vs, ', ') AS label FROM b""")
+def reason_labels(spark, d):
+    tags = documents(spark, d, tags=True).select("id", F.explode("tags").alias("value"))
+    return related.shared_values(tags, "4").select("id", related.label(F.lit("shared_tags"), F.col("score"), F.col("values")).alias("label"))
+
+
 # --- parsers without a SQL form ---
 
 
