@@ -18,10 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     while not _stars(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(low.hint("shuffle_hash"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # Every edge points down now: the small star of a node joins it and its lower neighbours to the lowest.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        joined = large.join(low.hint("shuffle_hash"), "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         e = cut(small.filter("a <> b").distinct(), small=True)
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))

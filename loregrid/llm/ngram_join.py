@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loregrid.llm.arrays import mix64, plain, shingles, sliced, split_rows, words
 from loregrid.llm.components import components
-from loregrid.llm.io import cut
+from loregrid.llm.io import cut, fewer
 
 #: Counters of the sketch, bits of the filter of wanted documents, fragments of the global order: fixed sizes.
 SKETCH_BITS, FILTER_BITS, FRAGMENTS = 18, 23, 8
@@ -159,9 +160,9 @@ def _not_apart(pairs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     return both.filter(fine).select("a", "b", "na", "nb").distinct()
 
 
-def _linked(rows: DataFrame, pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) of set ids that link, as (a, b): overlaps counted in each fragment and summed."""
-    pairs = cut(pairs, small=True)
+def _linked(rows: DataFrame, pairs: DataFrame, members: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(the pairs (a, b, na, nb) of set ids that link, as (a, b): overlaps counted in each fragment and summed; the persisted pairs, to be let go)."""
+    pairs = pairs.persist(StorageLevel.DISK_ONLY)  # with its lineage; the caller's checkpoint ends its use
     sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     segments = _segments(rows, k, _wanted(sids.join(members, "sid").select(F.xxhash64("rep").alias("key"))))
     left = segments.select(F.col("sid").alias("a"), "fragment", F.col("grams").alias("ga"))
@@ -170,7 +171,7 @@ def _linked(rows: DataFrame, pairs: DataFrame, members: DataFrame, k: int, perce
     # A document that is there twice has its segments twice: a fragment counts once.
     partial = partial.groupBy("a", "b", "fragment").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("part").alias("part"))
     both = partial.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("part").alias("both"))
-    return both.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
+    return both.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b"), pairs
 
 
 def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,13 +184,15 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
 
     grams = one.select("sid", "score", F.explode("prefix").alias("gram")).repartition("gram")
     groups = grams.groupBy("gram").agg(F.max_by("sid", "score").alias("center"), F.min("sid").alias("low"), F.max("sid").alias("high"))
-    met = cut(grams.join(groups.filter("low <> high").hint("shuffle_hash"), "gram").select("gram", "sid", "center").distinct())
+    met = cut(grams.join(groups.filter("low <> high").hint("shuffle_hash"), "gram").select("gram", "sid", "center").distinct(), small=True)
 
     info = members.select("sid", "n", *_MAPS)
     star = met.filter("sid <> center").select(F.least("sid", "center").alias("a"), F.greatest("sid", "center").alias("b")).distinct()
     star = star.join(info.select(F.col("sid").alias("a"), F.struct("n", *_MAPS).alias("x")).hint("shuffle_hash"), "a").join(info.select(F.col("sid").alias("b"), F.struct("n", *_MAPS).alias("y")).hint("shuffle_hash"), "b")
     star = star.filter(_may_link(percent)).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    found = components(_linked(rows, _not_apart(star, one, percent), members, k, percent))
+    links, held = _linked(rows, _not_apart(star, one, percent), members, k, percent)
+    found = components(links)
+    held.unpersist()
 
     # What is left: n-grams that documents of several components have in their prefixes.
     placed = met.select("gram", "sid").join(found.withColumnRenamed("node", "sid").hint("shuffle_hash"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
@@ -200,15 +203,17 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
         (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & _may_link(percent),
     )
     rest = meets.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    more = _linked(rows, _not_apart(rest.distinct(), one, percent), members, k, percent)
+    more, held = _linked(rows, _not_apart(rest.distinct(), one, percent), members, k, percent)
     of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = components(more)  # of components
+    held.unpersist()
     final = found.unionByName(joined.select("node", F.col("node").alias("component"))).distinct().join(joined.select(F.col("node").alias("component"), F.col("component").alias("upper")), "component", "left")
     final = final.select(F.col("node").alias("sid"), F.coalesce("upper", "component").alias("component")).groupBy("sid").agg(F.min("component").alias("component"))
 
     named = members.select("sid", "rep").join(final, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "component").select("sid", "component_id")
-    out = told.select("id", "n", "sid").join(named, "sid", "left")
+    named = named.join(smallest.hint("shuffle_hash"), "component").select("sid", "component_id")
+    # Three numbers a document: fewer, larger files than the shuffle has partitions.
+    out = fewer(told.select("id", "n", "sid").join(named.hint("shuffle_hash"), "sid", "left"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
