@@ -28,7 +28,7 @@ SAMPLE, SAMPLE_BYTES = 3000, 50_000
 #: Beginnings of words, in bytes, that are features beside the whole word.
 BEGINNINGS = (4, 5)
 #: A feature of fewer sampled documents has no weight.
-MIN_DOCS = 3
+MIN_DOCS = 6
 EMPTY = 0.0
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -68,7 +68,7 @@ def noisy_or(p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return 1 - np.exp(np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 80, rate: float = 0.3, decay: float = 1e-6) -> dict:
+def fit(texts: list[str], labels: list[int], rounds: int = 80, rate: float = 0.3, decay: float = 1e-4) -> dict:
     """Weights by full-batch AdaGrad on the log-likelihood of the noisy-or, classes weighted equally."""
     y = np.array(labels, np.float64)
     if len(y) == 0 or y.min() == y.max():
@@ -163,11 +163,11 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 p = sentence_scores(m, buckets, sentence, len(row))
                 has = np.bincount(row, minlength=j - i) > 0
                 total[i:j] = np.where(has, noisy_or(p, row, j - i), EMPTY)
-                for s in np.lexsort((-np.arange(len(p)), p)):
-                    if p[s] >= 0.5:
-                        r = int(row[s])
-                        begin = offsets[r] if s == 0 or row[s - 1] != r else ends[s - 1]
-                        found[i + r] = {"start": int(begin - offsets[r]), "end": int(ends[s] - offsets[r]), "score": float(p[s])}
+                high = np.flatnonzero(p >= 0.5)
+                for s in high[np.lexsort((-high, p[high]))]:  # the last of a text is its highest, of ties the first
+                    r = int(row[s])
+                    begin = offsets[r] if s == 0 or row[s - 1] != r else ends[s - 1]
+                    found[i + r] = {"start": int(begin - offsets[r]), "end": int(ends[s] - offsets[r]), "score": float(p[s])}
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(f.name) for f in given), pa.array(total), pa.array((total >= 0.5).astype(np.int32)), pa.array(found, arrow_worst)], names=schema.names
             )
