@@ -16,7 +16,7 @@ def cut(df: DataFrame, small: bool = False) -> DataFrame:
     """A reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
 
     Only where the setting is absent and the master is local, as in tests, a folder of this machine is set.
-    A table that is ``small`` beside the input is written in an eighth of the shuffle partitions, eight at least.
+    A table that is ``small`` beside the input is written in an eighth of the shuffle partitions, 32 at least.
     """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -25,8 +25,8 @@ def cut(df: DataFrame, small: bool = False) -> DataFrame:
 
 
 def fewer(df: DataFrame) -> DataFrame:
-    """A table much narrower than the input in an eighth of the shuffle partitions, eight at least."""
-    return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+    """A table much narrower than the input in an eighth of the shuffle partitions, 32 at least."""
+    return df.coalesce(max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
