@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -98,7 +99,7 @@ class Engine:
         texts = [r["content"] for r in rows.orderBy("position").collect()]  # five texts of 1000 characters
         return (answer(question, texts) if texts else NO_CONTEXT), answers.confidence(rows, question)
 
-    def recent(self, after: datetime, before: datetime, limit: int = 50) -> DataFrame:
+    def recent(self, after: datetime, before: datetime, limit: int | None = 50) -> DataFrame:
         return collections.recent(self.documents(), F.lit(after), F.lit(before), limit)
 
     def stats(self) -> DataFrame:
@@ -180,3 +181,80 @@ class Engine:
         table = self.store.read("collections")
         self.store.write("collections", table.withColumn("last_viewed_at", F.when(F.col("id") == c["id"], F.current_timestamp()).otherwise(F.col("last_viewed_at"))))
         return ids
+
+    # --- sessions ---
+
+    def create_session(self, name: str) -> str:
+        """The id of a new research session; names are of 1 to 80 printable characters and unique whatever their case."""
+        if not 0 < len(name.strip()) <= 80 or not name.isprintable():
+            raise ValueError("a session's name has 1 to 80 printable characters")
+        table = self.store.read("research_sessions")
+        if not table.filter(F.lower("name") == name.strip().lower()).isEmpty():
+            raise ValueError(f"session {name} exists")
+        row = self.spark.range(1).select(F.lit(str(uuid.uuid4())).alias("id"), F.lit(name.strip()).alias("name"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"))
+        return self.store.write("research_sessions", table.unionByName(row)).filter(F.lower("name") == name.strip().lower()).first()["id"]
+
+    def sessions(self) -> DataFrame:
+        """Sessions with their number of turns, the last used first."""
+        turns = self.store.read("session_turns").groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("turns"))
+        rows = self.store.read("research_sessions").join(turns, "id", "left").withColumn("turns", F.coalesce("turns", F.lit(0)))
+        return rows.orderBy(F.desc("updated_at"), F.lower("name"))
+
+    def add_turn(self, session_id: str, question: str, answer: str, citations: list[tuple[str, str, str, str]] = ()) -> None:
+        """Appends a turn with its citations (id, title, path, source) and touches the session."""
+        sessions = self.store.read("research_sessions")
+        if sessions.filter(F.col("id") == session_id).isEmpty():
+            raise NotFound(f"no session {session_id}")
+        table = self.store.read("session_turns")
+        row = self.spark.createDataFrame([(str(uuid.uuid4()), session_id, question, answer, list(citations), datetime.now(UTC))], table.schema)
+        self.store.write("session_turns", table.unionByName(row))
+        touched = F.when(F.col("id") == session_id, F.current_timestamp()).otherwise(F.col("updated_at"))
+        self.store.write("research_sessions", sessions.withColumn("updated_at", touched))
+
+    def turns(self, session_id: str, last: int | None = None) -> DataFrame:
+        rows = self.store.read("session_turns").filter(F.col("session_id") == session_id)
+        return (collections.last_turns(rows, last, order="created_at") if last else rows).orderBy("created_at", "id")
+
+    def set_state(self, session_id: str, document_id: str, state: str) -> None:
+        """Includes, pins or excludes a document; a document that has a state keeps its time."""
+        if state not in ("included", "pinned", "excluded"):
+            raise ValueError(f"unknown state {state!r}")
+        table = self.store.read("session_documents")
+        own = (F.col("session_id") == session_id) & (F.col("document_id") == document_id)
+        before = table.filter(own).first()
+        row = self.spark.createDataFrame([(session_id, document_id, state, before["added_at"] if before else datetime.now(UTC))], table.schema)
+        self.store.write("session_documents", table.filter(~own).unionByName(row))
+
+    def session_documents(self, session_id: str) -> DataFrame:
+        """Documents with their state: pinned, included, excluded."""
+        own = self.store.read("session_documents").filter(F.col("session_id") == session_id).select(F.col("document_id").alias("id"), "state", "added_at")
+        return self.documents().join(own, "id").orderBy(collections.state_order(F.col("state")), "added_at", F.lower("title"))
+
+    # --- digests and services ---
+
+    def digest(self, after: datetime, before: datetime, collection: str | None = None, limit: int = 100) -> DataFrame:
+        """What was new, indexed or modified in the window; of a collection, what it gained since it was viewed or since ``after``."""
+        if not collection:
+            return collections.digest(self.recent(after, before, None), F.lit(after), F.lit(before), limit=limit)
+        c = self.store.read("collections").filter(F.col("name") == collection).first()
+        if c is None:
+            raise NotFound(f"unknown collection: {collection}")
+        own = self.store.read("collection_documents").filter(F.col("collection_id") == c["id"])
+        ids = own.select(F.col("document_id").alias("id"))
+        if c["query"]:
+            ids = ids.unionByName(self.search(c["query"]).select("id")).distinct()
+            seen = self.store.read("collection_seen_documents").filter(F.col("collection_id") == c["id"]).select(F.col("document_id").alias("id"))
+            new = collections.unseen(ids, seen)
+        else:
+            new = own.filter(F.col("added_at") >= F.lit(after)).select(F.col("document_id").alias("id"))
+        docs = self.documents().join(ids, "id", "left_semi")
+        return collections.digest(docs, F.lit(after), F.lit(before), new=new, limit=limit)
+
+    def served(self, rows: DataFrame, patterns: list[str], content_bytes: int = 20 << 10) -> DataFrame:
+        """Rows fit to leave the engine: redacted and cut to fixed sizes, with a mark where the content was longer."""
+        clean = lambda c: T.redacted(F.col(c), patterns)
+        return rows.select(
+            "id", "source", T.cut_bytes(clean("title"), 4096).alias("title"), T.cut_bytes(clean("path"), 8192).alias("path"), T.cut_bytes(clean("preview"), 1024).alias("preview"),
+            T.cut_bytes(clean("content"), content_bytes).alias("content"), (F.octet_length(clean("content")) > content_bytes).alias("truncated"),
+            F.transform_values(T.bounded_map(F.col("metadata")), lambda k, v: T.redacted(v, patterns)).alias("metadata"),
+        )

@@ -79,6 +79,33 @@ def test_ask(engine):
     assert engine.ask("tag:none x", lambda q, c: "")[1].first().score == 0
 
 
+def test_sessions(engine):
+    s = engine.create_session("Release Research")
+    with pytest.raises(ValueError):
+        engine.create_session("release research")
+    for d, state in (("doc1", "included"), ("doc2", "pinned"), ("doc1", "excluded")):
+        engine.set_state(s, d, state)
+    assert [(r.id, r.state) for r in engine.session_documents(s).collect()] == [("doc2", "pinned"), ("doc1", "excluded")]
+    engine.add_turn(s, "q1", "a1", [("doc1", "Go notes", "/n/doc1.md", "markdown")])
+    engine.add_turn(s, "q2", "a2")
+    assert [r.question for r in engine.turns(s).collect()] == ["q1", "q2"] and [r.question for r in engine.turns(s, 1).collect()] == ["q2"]
+    assert engine.sessions().first().turns == 2
+    with pytest.raises(NotFound):
+        engine.add_turn("none", "q", "a")
+
+
+def test_digest_and_service(spark, engine):
+    old, soon = datetime(2020, 1, 1), datetime(2100, 1, 1)
+    assert {tuple(r.reasons) for r in engine.digest(old, soon).collect()} == {("indexed", "modified")}
+    engine.create_collection("mine")
+    engine.add_to_collection("mine", spark.createDataFrame([("doc1",)], "id string"))
+    items = engine.digest(datetime(2099, 1, 1), soon, "mine").collect()
+    assert items == []
+    assert [r.reasons[0] for r in engine.digest(old, soon, "mine").collect()] == ["new in collection"]
+    out = engine.served(engine.documents().filter("id = 'doc1'"), ["programming"], 12).first()
+    assert out.content == "go [REDACTED" and out.truncated
+
+
 def test_watch_keeps_the_last_event(spark, tmp_path):
     rows = [("a", "write", datetime(2026, 1, 1, 0, 0, 0), 1), ("a", "remove", datetime(2026, 1, 1, 0, 0, 1), 2), ("b", "remove", datetime(2026, 1, 1), 3), ("b", "create", datetime(2026, 1, 1), 4)]
     schema = "path string, op string, at timestamp, n long"
