@@ -17,6 +17,7 @@ no rows. A text that holds U+2581 decodes to a space there, as with the referenc
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -258,12 +259,13 @@ class Encoder:
         return np.delete(data, drop), to - np.searchsorted(drop, to)
 
 
-_ENCODERS: dict[int, Encoder] = {}
+#: A worker's encoder, by the query that it is for: one at a time.
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _apply(docs: DataFrame, model: str, added: list[StructField], make) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model))  # as large as the model, whatever the rows
-    key = shared.id if hasattr(shared, "id") else id(shared)
+    key = uuid.uuid4().hex
     names = [f.name for f in added]
     given = [f for f in docs.schema.fields if f.name not in names]
     schema = StructType([*given, *added])
@@ -272,7 +274,10 @@ def _apply(docs: DataFrame, model: str, added: list[StructField], make) -> DataF
         encoder = None
         for b in batches:
             if encoder is None:
-                encoder = _ENCODERS.get(key) or _ENCODERS.setdefault(key, Encoder(shared.value))
+                if key not in _ENCODERS:
+                    _ENCODERS.clear()
+                    _ENCODERS[key] = Encoder(shared.value)
+                encoder = _ENCODERS[key]
             for i, j, columns in make(encoder, b):
                 yield pa.RecordBatch.from_arrays([*(b.column(f.name).slice(i, j - i) for f in given), *columns], names=schema.names)
 

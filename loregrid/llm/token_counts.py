@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,20 +199,24 @@ class Counter:
         return out
 
 
-_COUNTERS: dict[int, Counter] = {}
+#: A worker's counter, by the query that it is for: one at a time.
+_COUNTERS: dict[str, Counter] = {}
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row; ``vocabulary`` is the path of a tokenizer file."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_vocabulary(vocabulary))  # as large as the vocabulary, whatever the rows
-    key = shared.id if hasattr(shared, "id") else id(shared)
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
         for batch in batches:
             if counter is None:
-                counter = _COUNTERS.get(key) or _COUNTERS.setdefault(key, Counter(shared.value))
+                if key not in _COUNTERS:
+                    _COUNTERS.clear()
+                    _COUNTERS[key] = Counter(shared.value)
+                counter = _COUNTERS[key]
             texts = plain(batch.column(1))
             n = counter.of(texts)
             size = np.concatenate([np.diff(o) for *_, o in sliced(texts)]) if len(texts) else np.zeros(0, np.int64)
