@@ -20,9 +20,8 @@ NGRAM_JOIN = f"""WITH RECURSIVE grams AS ({_grams('documents', 'doc_id', 3)}),
   SELECT d.doc_id, COALESCE(n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = d.doc_id) AS component_id FROM documents d LEFT JOIN sizes USING (doc_id)"""
 
 DECONTAMINATE = f"""WITH dg AS ({_grams('documents', 'doc_id', 5)}), ig AS ({_grams('benchmark', 'item_id', 5)}),
-  sizes AS (SELECT item_id, count(*) AS n FROM ig GROUP BY item_id),
-  held AS (SELECT doc_id, item_id FROM dg JOIN ig USING (g) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n)
-  SELECT doc_id, count(item_id) > 0 AS contaminated, count(item_id) AS n_items, COALESCE(string_agg(item_id, ',' ORDER BY item_id), '') AS items FROM documents LEFT JOIN held USING (doc_id) GROUP BY doc_id"""
+  sizes AS (SELECT item_id, count(*) AS n FROM ig GROUP BY item_id)
+  SELECT doc_id, item_id FROM dg JOIN ig USING (g) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n"""
 
 _SAID = "'<|im_end|><|im_start|>assistant ok'"
 _ESCAPED = "replace(replace({x}, '\\', '\\\\'), '<|', '<\\|')"
