@@ -5,6 +5,10 @@ a figure stands for any. The lines of one leaf are compared with the leaf's comm
 runs of tokens: a line that agrees in ``alike`` percent of them shares its template, and the runs that
 differ are variable fields; any other line is a template of its own. A template recurs when its lines
 stand in at least ``min_docs`` different texts (``min_docs_short`` for lines of under ``short`` tokens).
+With ``several`` a leaf has as many templates as it needs: its forms pass by rank, and each joins the first
+representative that has ``alike`` percent of its tokens, or becomes one; none is left over. The query and its SQL
+have one template a leaf, the pipeline has several.
+
 The text with the smallest document id keeps the lines of a recurring template; they are dropped
 elsewhere. Exact copies of a text are one text here, so copies alone make nothing recur.
 
@@ -55,8 +59,11 @@ def _low(pair: str) -> Column:
     return F.pmod(F.col(pair), F.lit(2**60).cast("decimal(38,0)")).cast("long")
 
 
-def parsed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, whole, pos, n, leaf, form, r0..r3) of every line with a token; whole names the text, r0 to r3 hold the hashes of the runs, two each."""
+def parsed(docs: DataFrame, id_col: str, text_col: str, several: bool = False) -> DataFrame:
+    """(id, whole, pos, n, leaf, form, r0..r3) of every line with a token; whole names the text, r0 to r3 hold the hashes of the runs, two each.
+
+    With ``several`` there is hashes, those of the tokens, instead of r0 to r3.
+    """
     lines = docs.filter(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), _whole(text_col).alias("whole"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("pos", "line")
     )
@@ -74,6 +81,8 @@ def parsed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return F.hash(F.slice("tokens", begin + 1, end - begin))
 
     pair = [F.shiftleft(run(2 * i).cast("long"), 32).bitwiseOR(run(2 * i + 1).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"r{i}") for i in range(RUNS // 2)]
+    if several:
+        pair = [F.transform("tokens", lambda x: F.hash(x)).alias("hashes")]
     leaf = F.xxhash64(n, F.slice("tokens", 1, DEPTH))
     return lines.select("id", "whole", "pos", n.alias("n"), leaf.alias("leaf"), _digest(F.col("line")).alias("form"), *pair)
 
@@ -97,30 +106,70 @@ def _agree(prefix: str) -> Column:
     return total
 
 
-def templates(lines: DataFrame, alike: int = ALIKE, min_docs: int = MIN_DOCS, short: int = SHORT, min_docs_short: int = MIN_DOCS_SHORT) -> DataFrame:
-    """(leaf, form, template, lines, docs, owner) of the line forms whose template recurs."""
-    runs = [f"r{i}" for i in range(RUNS // 2)]
+def _bar(min_docs: int = MIN_DOCS, short: int = SHORT, min_docs_short: int = MIN_DOCS_SHORT) -> Column:
+    """How many texts a template of n tokens needs."""
+    return F.when(F.col("n") < short, min_docs_short).otherwise(min_docs)
+
+
+def _first_fits(forms: DataFrame, tokens: DataFrame, alike: int) -> DataFrame:
+    """(leaf, form, template) of the forms in leaves of more than one: a fold by rank over the forms of a leaf, until none is left.
+
+    A leaf's distinct forms meet in one task; their tokens come from the text that owns the form.
+    """
+    shared = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms")).filter("forms > 1").select("leaf")
+    open_ = forms.filter(F.col("n") >= RUNS).join(shared.hint("shuffle_hash"), "leaf", "left_semi").select("leaf", "form", "owner", _pair("docs", "form").alias("rank"))
+    tokens = tokens.filter(F.col("n") >= RUNS).select("leaf", "form", _pair("id", "whole").alias("owner"), "hashes")
+    # A text with a form twice gives it twice: a set.
+    met = tokens.join(open_.hint("shuffle_hash"), ["leaf", "form", "owner"]).groupBy("leaf").agg(F.collect_set(F.struct("rank", "form", "hashes")).alias("met"))
+    start = F.struct(F.array().cast("array<struct<form:bigint,hashes:array<int>>>").alias("known"), F.array().cast("array<struct<form:bigint,template:bigint>>").alias("out"))
+
+    def fits(x: Column, y: Column) -> Column:
+        equal = F.filter(F.zip_with(x["hashes"], y["hashes"], lambda a, b: a == b), lambda e: e)
+        return F.size(equal) * 100 >= F.size(x["hashes"]) * alike
+
+    def step(acc: Column, x: Column) -> Column:
+        fit = F.get(F.filter(acc["known"], lambda y: fits(x, y)), F.lit(0))["form"]
+        known = F.when(fit.isNull(), F.concat(acc["known"], F.array(F.struct(x["form"].alias("form"), x["hashes"].alias("hashes"))))).otherwise(acc["known"])
+        return F.struct(known.alias("known"), F.concat(acc["out"], F.array(F.struct(x["form"].alias("form"), F.coalesce(fit, x["form"]).alias("template")))).alias("out"))
+
+    placed = met.select("leaf", F.explode(F.aggregate(F.reverse(F.array_sort("met")), start, step, lambda acc: acc["out"])).alias("x"))
+    return cut(placed.select("leaf", "x.form", "x.template"), small=True)
+
+
+def templates(lines: DataFrame, alike: int = ALIKE, tokens: DataFrame | None = None, **limits: int) -> DataFrame:
+    """(leaf, form, template, lines, docs, owner) of the line forms whose template recurs; with ``tokens``, lines with their hashes, by several templates a leaf."""
+    runs = [f"r{i}" for i in range(RUNS // 2)] if tokens is None else []
     once = lines.groupBy("leaf", "form", "whole").agg(F.count(F.lit(1)).alias("lines"), F.min("id").alias("id"), F.max("n").alias("n"), *(F.max(r).alias(r) for r in runs))
     forms = once.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("docs"), F.sum("lines").alias("lines"), F.min(_pair("id", "whole")).alias("owner"), F.max("n").alias("n"), *(F.max(r).alias(r) for r in runs))
+    if tokens is None:
+        forms = _one_template(forms, runs, alike)
+    else:
+        forms = cut(forms)
+        placed = _first_fits(forms, tokens, alike).hint("shuffle_hash")
+        forms = forms.join(placed, ["leaf", "form"], "left").withColumn("template", F.coalesce("template", "form"))
+    total = forms.groupBy("leaf", "template").agg(F.sum("docs").alias("total"), F.min("owner").alias("first"), F.max("n").alias("n"))
+    total = total.filter(F.col("total") >= _bar(**limits)).drop("n")
+    out = forms.join(total.hint("shuffle_hash"), ["leaf", "template"])
+    return out.select("leaf", "form", "template", "lines", F.col("total").alias("docs"), _low("first").alias("owner"))
+
+
+def _one_template(forms: DataFrame, runs: list[str], alike: int) -> DataFrame:
+    """``forms`` with their template: that of the leaf's commonest form, or their own."""
     rank = _pair("docs", "form")
     best = forms.groupBy("leaf").agg(F.max_by("form", rank).alias("best"), *(F.max_by(r, rank).alias(f"best_{r}") for r in runs))
     shared = (_agree("best_") * 100 >= F.lit(alike * RUNS)) & (F.col("n") >= RUNS)
-    forms = forms.join(best.hint("shuffle_hash"), "leaf").select("leaf", "form", "docs", "lines", "owner", "n", F.when(shared, F.col("best")).otherwise(F.col("form")).alias("template"))
-    total = forms.groupBy("leaf", "template").agg(F.sum("docs").alias("total"), F.min("owner").alias("first"))
-    total = total.filter(F.col("total") >= min(min_docs, min_docs_short))
-    out = forms.join(total.hint("shuffle_hash"), ["leaf", "template"]).filter(F.col("total") >= F.when(F.col("n") < short, min_docs_short).otherwise(min_docs))
-    return out.select("leaf", "form", "template", "lines", F.col("total").alias("docs"), _low("first").alias("owner"))
+    return forms.join(best.hint("shuffle_hash"), "leaf").select("leaf", "form", "docs", "lines", "owner", "n", F.when(shared, F.col("best")).otherwise(F.col("form")).alias("template"))
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", several: bool = False, **limits: int) -> DataFrame:
     """``docs`` without the lines of recurring templates, and two more columns: n_lines and n_dropped (long)."""
-    lines = cut(parsed(docs, id_col, text_col))
+    tokens = parsed(docs, id_col, text_col, several=True) if several else None
+    lines = cut(tokens.drop("hashes") if several else parsed(docs, id_col, text_col))
     # A template has no more lines than its leaf: most leaves hold too few and go before anything wide is shuffled.
-    least = min(limits.get("min_docs", MIN_DOCS), limits.get("min_docs_short", MIN_DOCS_SHORT))
-    bar = max(least, lines.count() // HEAVY + 1)
-    full = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") >= least)
+    bar = lines.count() // HEAVY + 1
+    full = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.max("n").alias("n")).filter(F.col("lines") >= _bar(**limits)).drop("n")
     lines = cut(_meet(lines, full, ["leaf"], bar, "left_semi"))
-    known = templates(lines, **limits).select("leaf", "form", "lines", "owner")
+    known = templates(lines, tokens=tokens, **limits).select("leaf", "form", "lines", "owner")
     dropped = _meet(lines.select("id", "whole", "pos", "leaf", "form"), known, ["leaf", "form"], bar, "inner").filter("whole <> owner")
     dropped = dropped.groupBy("id", "whole").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
     dropped = dropped.withColumnsRenamed({"id": "_id", "whole": "_whole"}).hint("shuffle_hash")

@@ -176,3 +176,40 @@ def test_copies_alone_make_no_template_and_repeats_stay(spark):
     docs = spark.createDataFrame([(i, "one two three four five six seven eight nine") for i in (1, 1, 2, 3, 4)], "doc_id long, text string")
     assert [r.n_dropped for r in line_templates.drop_recurring(docs).collect()] == [0] * 5
     assert line_templates.drop_recurring(docs.limit(0)).count() == 0
+
+
+def kept_lines(spark, texts, **how):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.text for r in line_templates.drop_recurring(docs, several=True, **how).collect()}
+
+
+def test_a_leaf_has_several_templates_by_token(spark):
+    first = [f"the quick brown {w} jumps over one lazy dog today" for w in ("fox", "cat", "hen", "cow")]
+    second = [f"the quick brown paper says nothing about {w} at all" for w in ("rain", "snow", "wind", "hail")]
+    other = "the quick brown words of some quite different kind here"  # in two texts: the leaf's commonest form
+    # Three of ninety words vary, in three of the eight runs.
+    base = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(90)]
+    wide = [" ".join(f"{w}{chr(97 + k)}" if i in (20, 50, 80) else w for i, w in enumerate(base)) for k in range(4)]
+    texts = [*first, *second, other, f"{other}\nz", *wide]
+    got = kept_lines(spark, texts)
+    assert [got[i] for i in range(len(texts))] == [first[0], "", "", "", second[0], "", "", "", other, f"{other}\nz", wide[0], "", "", ""]
+
+
+def test_folds_equal_the_plain_first_fit(spark):
+    rng = random.Random(11)
+    texts = ["a b c " + " ".join(rng.choices("pqr", k=9)) for _ in range(300)]
+    docs, where = Counter(set(texts)), {}
+    for i, t in enumerate(texts):
+        where.setdefault(t, i)
+    digest = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:15], 16)
+    groups = []
+    for t in sorted(docs, key=lambda t: (docs[t], digest(t)), reverse=True):
+        for g in groups:
+            if sum(a == b for a, b in zip(g[0].split(), t.split(), strict=True)) * 100 >= 75 * 12:
+                g.append(t)
+                break
+        else:
+            groups.append([t])
+    assert len(groups) > 10
+    owner = {t: min(g, key=where.get) if len(g) >= 3 else t for g in groups for t in g}
+    assert kept_lines(spark, texts) == {i: t if owner[t] == t else "" for i, t in enumerate(texts)}
