@@ -6,8 +6,9 @@ runs of tokens: a line that agrees in ``alike`` percent of them shares its templ
 differ are variable fields; any other line is a template of its own. A template recurs when its lines
 stand in at least ``min_docs`` different texts (``min_docs_short`` for lines of under ``short`` tokens).
 With ``several`` a leaf has as many templates as it needs: its forms pass by rank, and each joins the first
-representative that has ``alike`` percent of its tokens, or becomes one; none is left over. The query and its SQL
-have one template a leaf, the pipeline has several.
+representative that has ``alike`` percent of its tokens, or becomes one; none is left over. Lines of
+``long`` tokens or more then recur from ``min_docs_long`` texts on. The query and its SQL have one template a
+leaf, the pipeline has several.
 
 The text with the smallest document id keeps the lines of a recurring template; they are dropped
 elsewhere. Exact copies of a text are one text here, so copies alone make nothing recur.
@@ -31,6 +32,8 @@ from loregrid.llm.io import cut
 
 DEPTH, RUNS, ALIKE = 3, 8, 75
 MIN_DOCS, SHORT, MIN_DOCS_SHORT = 3, 8, 10
+#: With several templates a leaf.
+LONG, MIN_DOCS_LONG = 50, 2
 #: A key with more than this share of all lines is heavy: so there are at most so many heavy keys, which are broadcast.
 HEAVY = 1000
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -106,9 +109,10 @@ def _agree(prefix: str) -> Column:
     return total
 
 
-def _bar(min_docs: int = MIN_DOCS, short: int = SHORT, min_docs_short: int = MIN_DOCS_SHORT) -> Column:
+def _bar(several: bool = False, min_docs: int = MIN_DOCS, short: int = SHORT, min_docs_short: int = MIN_DOCS_SHORT, long: int = LONG, min_docs_long: int = MIN_DOCS_LONG) -> Column:
     """How many texts a template of n tokens needs."""
-    return F.when(F.col("n") < short, min_docs_short).otherwise(min_docs)
+    bar = F.when(F.col("n") < short, min_docs_short)
+    return (bar.when(F.col("n") >= long, min_docs_long) if several else bar).otherwise(min_docs)
 
 
 def _first_fits(forms: DataFrame, tokens: DataFrame, alike: int) -> DataFrame:
@@ -148,7 +152,7 @@ def templates(lines: DataFrame, alike: int = ALIKE, tokens: DataFrame | None = N
         placed = _first_fits(forms, tokens, alike).hint("shuffle_hash")
         forms = forms.join(placed, ["leaf", "form"], "left").withColumn("template", F.coalesce("template", "form"))
     total = forms.groupBy("leaf", "template").agg(F.sum("docs").alias("total"), F.min("owner").alias("first"), F.max("n").alias("n"))
-    total = total.filter(F.col("total") >= _bar(**limits)).drop("n")
+    total = total.filter(F.col("total") >= _bar(tokens is not None, **limits)).drop("n")
     out = forms.join(total.hint("shuffle_hash"), ["leaf", "template"])
     return out.select("leaf", "form", "template", "lines", F.col("total").alias("docs"), _low("first").alias("owner"))
 
@@ -167,7 +171,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = cut(tokens.drop("hashes") if several else parsed(docs, id_col, text_col))
     # A template has no more lines than its leaf: most leaves hold too few and go before anything wide is shuffled.
     bar = lines.count() // HEAVY + 1
-    full = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.max("n").alias("n")).filter(F.col("lines") >= _bar(**limits)).drop("n")
+    full = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.max("n").alias("n")).filter(F.col("lines") >= _bar(several, **limits)).drop("n")
     lines = cut(_meet(lines, full, ["leaf"], bar, "left_semi"))
     known = templates(lines, tokens=tokens, **limits).select("leaf", "form", "lines", "owner")
     dropped = _meet(lines.select("id", "whole", "pos", "leaf", "form"), known, ["leaf", "form"], bar, "inner").filter("whole <> owner")

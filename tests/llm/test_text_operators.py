@@ -213,3 +213,9 @@ def test_folds_equal_the_plain_first_fit(spark):
     assert len(groups) > 10
     owner = {t: min(g, key=where.get) if len(g) >= 3 else t for g in groups for t in g}
     assert kept_lines(spark, texts) == {i: t if owner[t] == t else "" for i, t in enumerate(texts)}
+
+
+def test_long_lines_recur_from_two_texts(spark):
+    long, usual = " ".join(f"w{chr(97 + i % 26)}" for i in range(50)), "one two three four five six seven eight nine"
+    texts = [f"{long}\n{usual}\nx", f"{long}\n{usual}\ny"]
+    assert kept_lines(spark, texts) == {0: texts[0], 1: f"{usual}\ny"}
