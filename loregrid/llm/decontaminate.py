@@ -1,14 +1,16 @@
 """Benchmark decontamination by a BM25 index of the test items, searched with block-max WAND.
 
 Test items are cut into units of at most ``UNIT`` words and indexed; scores are taken as parts of a unit's
-score for its own text, so one threshold holds for all. Every document is cut into passages, windows of
-``2 * UNIT`` words that overlap by half, so that any unit that a document holds lies within one passage.
-Each passage is a query for all units at or above the threshold. A first, safe test drops the passages
-that cannot reach it: a unit's commonest terms up to half the threshold cannot bring it there alone, so the
-rest of its terms must bring the other half. The others walk the posting lists with block-max WAND.
+score for its own text. A document's passage is every word of it that stands in a five-word run of some
+item, however far apart; it is a query for all units at or above the threshold. An item's threshold is at
+most the score that a text with ``percent`` of its runs cannot stay under in all its units, so retrieval
+never rules out what verification would accept. A first, safe test drops the passages that cannot reach
+it: a unit's commonest terms up to half the threshold cannot bring it there alone, so the rest of its terms
+must bring the other half. The others walk the posting lists with block-max WAND.
 
 A document holds an item if it has at least ``percent`` of the item's distinct runs of five words, those of
-the question (all sentences but the last) and of the answer (the last one) together; both are reported.
+the question (all sentences but the last) and of the answer (the last one) together; both are reported,
+neither is decided on alone.
 
 The items come in blocks of at most ``BLOCK_ITEMS``: one index of bounded size at a time is broadcast, and
 the documents pass through each.
@@ -48,12 +50,52 @@ def split_item(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
 
 
+class Statistics:
+    """Number and mean length of the units of all items, and in how many of them each term is."""
+
+    def __init__(self, texts: Iterator[str]):
+        self.n, self.length, self.terms, self.df, wait = 0, 0, np.zeros(0, np.uint64), np.zeros(0), []
+        for text in texts:
+            w = _words_of(text or "")
+            wait += [np.unique(w[a : a + UNIT]) for a in range(0, len(w), UNIT)]
+            self.length += len(w)
+            if len(wait) >= BLOCK_ITEMS:
+                self._add(wait)
+                wait = []
+        self._add(wait)
+        self.mean = self.length / self.n if self.n else 1.0
+
+    def _add(self, units: list[np.ndarray]) -> None:
+        self.n += len(units)
+        self.terms, back = np.unique(np.concatenate([self.terms, *units]), return_inverse=True)
+        self.df = np.bincount(back, np.concatenate([self.df, np.ones(len(back) - len(self.df))]), len(self.terms))
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        return self.df[np.searchsorted(self.terms, terms)]
+
+
+def _guaranteed(w: np.ndarray, grams: np.ndarray, weight: np.ndarray, percent: int) -> float:
+    """The least part of ``weight``, of the distinct words of ``w`` in order, that a text with ``percent`` of the runs holds.
+
+    A word is missing only if all its runs are, so each run takes an equal part of its words' weights with it.
+    """
+    runs, run = np.unique(grams, return_inverse=True)
+    terms, term = np.unique(w, return_inverse=True)
+    width = len(w) - len(grams) + 1
+    pairs = np.unique(np.concatenate([run * len(terms) + term[j : j + len(grams)] for j in range(width)]))
+    term = pairs % len(terms)
+    taken = np.bincount(pairs // len(terms), (weight / np.bincount(term))[term], len(runs))
+    lost = len(runs) * (100 - percent) // 100
+    return 1.0 - float(np.sort(taken)[len(runs) - lost :].sum())
+
+
 class Index:
-    """Posting lists of normalised BM25 parts, in blocks with their largest part."""
+    """Posting lists of BM25 parts, in blocks with their largest part; a unit's parts are scaled so that its threshold is 1."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
-        self.threshold = threshold
-        self.item_ids, self.runs, self.answers, units, self.unit_item = [], [], [], [], []
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, percent: int = PERCENT, known: Statistics | None = None):
+        self.threshold = 1.0
+        known = known or Statistics(t for _, t in items)
+        self.item_ids, self.runs, self.answers, units, self.unit_item, whole = [], [], [], [], [], []
         for item, text in items:
             w = _words_of(text or "")
             if len(w) == 0:
@@ -63,25 +105,32 @@ class Index:
             self.unit_item += [len(self.item_ids)] * len(range(0, len(w), UNIT))
             units += [w[a : a + UNIT] for a in range(0, len(w), UNIT)]
             self.item_ids.append(item)
+            whole.append((w, grams))
             self.runs.append(np.unique(grams))
             self.answers.append(np.unique(grams[max(0, min(question, len(grams) - 1)) :]) if question < len(w) else np.zeros(0, np.uint64))
         self.terms = np.unique(np.concatenate([*units, np.zeros(0, np.uint64)]))
-        mean = np.mean([len(u) for u in units]) if units else 1.0
+        self.any_run = np.unique(np.concatenate([*self.runs, np.zeros(0, np.uint64)]))
         of_unit, of_term, part = [], [], []
         sets = [np.unique(u, return_counts=True) for u in units]
-        df = np.zeros(len(self.terms))
-        for t, _ in sets:
-            df[np.searchsorted(self.terms, t)] += 1
-        idf = np.log1p((len(units) - df + 0.5) / (df + 0.5))
-        essential = []
+        df = known.of(self.terms)
+        idf = np.log1p((known.n - df + 0.5) / (df + 0.5))
+        essential, scores = [], []
+        weight = [np.zeros(len(np.unique(w))) for w, _ in whole]
+        n_units = np.bincount(np.array(self.unit_item, np.int64), minlength=len(whole))
         for u, (t, tf) in enumerate(sets):
+            at, item = np.searchsorted(self.terms, t), self.unit_item[u]
+            p = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(units[u]) / known.mean))
+            scores.append(p / p.sum())
+            weight[item][np.searchsorted(np.unique(whole[item][0]), t)] += scores[-1] / n_units[item]
+        # The mean of a held item's units is at least what its runs guarantee, so one of its units is.
+        self.limits = np.array([max(1e-6, min(threshold, _guaranteed(w, g, x, percent))) for (w, g), x in zip(whole, weight, strict=True)])
+        for u, (t, _) in enumerate(sets):
             at = np.searchsorted(self.terms, t)
-            p = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(units[u]) / mean))
-            p = p / p.sum()
+            p = scores[u] / self.limits[self.unit_item[u]]
             # The commonest terms up to half the threshold: the others are essential.
             order = np.lexsort((p, -df[at]))
             need = np.zeros(len(at), bool)
-            need[order[np.cumsum(p[order]) > threshold / 2]] = True
+            need[order[np.cumsum(p[order]) > self.threshold / 2]] = True
             of_unit.append(np.full(len(at), u))
             of_term.append(at)
             part.append(p)
@@ -104,6 +153,12 @@ class Index:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, -1)
 
+    def holds(self, runs: np.ndarray) -> np.ndarray:
+        """Which of the runs are in some item."""
+        if len(self.any_run) == 0:
+            return np.zeros(len(runs), bool)
+        return self.any_run[np.minimum(np.searchsorted(self.any_run, runs), len(self.any_run) - 1)] == runs
+
     def may_reach(self, term: np.ndarray, window: np.ndarray) -> np.ndarray:
         """The windows in which some unit's essential terms reach half the threshold; (term, window) of every word of the items."""
         n = np.where(term >= 0, self.e_at[term + 1] - self.e_at[term], 0)
@@ -170,23 +225,23 @@ class Index:
     def hits(self, hashes: np.ndarray, at: np.ndarray, percent: int) -> Iterator[list[dict]]:
         """For each text (words hashes[at[i]:at[i+1]]) its items, verified, in order of their ids."""
         n = np.diff(at)
-        blocks = np.maximum(1, -(-n // UNIT))
-        base = np.cumsum(blocks) - blocks
         row = np.repeat(np.arange(len(n)), n)
-        block = base[row] + (np.arange(len(hashes)) - at[row]) // UNIT
-        term = self.lookup(hashes)
-        # Window w is blocks w and w + 1 of one text; a word is in its own block's window and in the one before.
-        prior = block - 1 >= base[row]
-        found = self.may_reach(np.concatenate([term, term[prior]]), np.concatenate([block, block[prior] - 1]))
+        # The words in a run of some item; a text of fewer words than a run is one run.
+        inside = np.zeros(len(hashes), bool)
+        for r in np.flatnonzero((n > 0) & (n < RUN)):
+            inside[at[r] : at[r + 1]] = self.holds(shingles(hashes[at[r] : at[r + 1]], RUN))
+        if len(hashes) >= RUN:
+            begin = np.flatnonzero(self.holds(shingles(hashes, RUN)) & (row[: len(hashes) - RUN + 1] == row[RUN - 1 :]))
+            for j in range(RUN):
+                inside[begin + j] = True
+        term, row = self.lookup(hashes[inside]), row[inside]
         by_row: dict[int, dict[int, float]] = {}
-        for w in found:
-            r = int(np.searchsorted(base, w, "right")) - 1
-            a = at[r] + (w - base[r]) * UNIT
-            t = np.unique(term[a : min(a + 2 * UNIT, at[r + 1])])
+        for r in map(int, self.may_reach(term, row)):
+            t = np.unique(term[np.searchsorted(row, r) : np.searchsorted(row, r, "right")])
             for unit, score in self.wand(t[t >= 0]):
                 best = by_row.setdefault(r, {})
                 item = self.unit_item[unit]
-                best[item] = max(best.get(item, 0.0), score)
+                best[item] = max(best.get(item, 0.0), score * float(self.limits[item]))
         for r in range(len(n)):
             if r not in by_row:
                 yield []
@@ -216,7 +271,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     for block in range(blocks):
         own = items.filter(F.col("block") == block) if blocks > 1 else items
         # One block of the items: of bounded size.
-        shared = docs.sparkSession.sparkContext.broadcast(Index(sorted((r["id"], r["text"]) for r in own.select("id", "text").toLocalIterator()), threshold))
+        shared = docs.sparkSession.sparkContext.broadcast(Index(sorted((r["id"], r["text"]) for r in own.select("id", "text").toLocalIterator()), threshold, percent))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index: Index = shared.value

@@ -115,6 +115,29 @@ def test_items_are_found_and_clean_texts_left(spark, sf_dir):
     assert all(r.hits == [] for r in decontaminate.find_items(docs.limit(5), bench.limit(0)).collect())
 
 
+def test_an_item_in_three_parts_is_found(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(59))) for i in range(20)]
+    w, fill = items[3][1].split(), [f"f{j}" for j in range(200)]
+    docs = [(0, " ".join([*w[:20], *fill, *w[20:40], *fill, *w[40:]])), (1, " ".join([*w[:20], *fill]))]
+    # Rare words outside the held runs: under half of the score, but 80 % of the runs.
+    usual = [f"u{j}" for j in range(17)]
+    items += [(100 + i, " ".join([*usual, f"r{i}", f"s{i}", f"t{i}"])) for i in range(60)]
+    docs.append((2, " ".join([*usual, "x y"])))
+    for i in range(200):  # pieces of items in another order, borderline ones among them
+        w = rng.choice(items)[1].split()
+        cuts = sorted(rng.sample(range(1, len(w)), rng.randint(0, 3)))
+        pieces = [w[a:b] for a, b in zip([0, *cuts], [*cuts, len(w)], strict=True)]
+        rng.shuffle(pieces)
+        docs.append((10 + i, " ".join(x for p in pieces for x in [*p, *fill[: rng.choice([0, 3, 150])]])))
+    sets = {i: grams(t, 5) for i, t in items}
+    want = {d: sorted(i for i, s in sets.items() if 100 * len(s & grams(t, 5)) >= 80 * len(s)) for d, t in docs}
+    assert want[0] == [3] and want[1] == [] and len(want[2]) == 60
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: [h.item_id for h in r.hits] for r in decontaminate.find_items(frame, bench).collect()}
+    assert got == want
+
+
 def test_split_item():
     assert decontaminate.split_item("Who is it? It is she.") == ("Who is it?", "It is she.")
     assert decontaminate.split_item("no end") == ("no end", "")
