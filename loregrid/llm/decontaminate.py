@@ -268,10 +268,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     given = [f for f in docs.schema.fields if f.name != "hits"]
     schema = StructType([*given, StructField("hits", _HIT)])
     out = docs.select(*[f"`{f.name}`" for f in given]).withColumn("hits", F.array().cast(_HIT))
+    # One item at a time passes the driver; what stays is a number for each distinct term.
+    known = Statistics(r["text"] for r in items.select("text").toLocalIterator()) if blocks > 1 else None
     for block in range(blocks):
         own = items.filter(F.col("block") == block) if blocks > 1 else items
         # One block of the items: of bounded size.
-        shared = docs.sparkSession.sparkContext.broadcast(Index(sorted((r["id"], r["text"]) for r in own.select("id", "text").toLocalIterator()), threshold, percent))
+        shared = docs.sparkSession.sparkContext.broadcast(Index(sorted((r["id"], r["text"]) for r in own.select("id", "text").toLocalIterator()), threshold, percent, known))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index: Index = shared.value

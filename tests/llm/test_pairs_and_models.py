@@ -138,6 +138,14 @@ def test_an_item_in_three_parts_is_found(spark):
     assert got == want
 
 
+def test_blocks_of_items_share_their_statistics(spark, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(40)
+    docs = bench.select(F.col("item_id").alias("doc_id"), F.regexp_replace("text", r"\S+$", "another").alias("text"))
+    scores = [{(r.doc_id, h.item_id): h.score for r in decontaminate.find_items(docs, bench, block_items=n).collect() for h in r.hits} for n in (20_000, 7)]
+    assert scores[0] and scores[0] == pytest.approx(scores[1], abs=1e-12)
+    assert any(s < 1 for s in scores[0].values())
+
+
 def test_split_item():
     assert decontaminate.split_item("Who is it? It is she.") == ("Who is it?", "It is she.")
     assert decontaminate.split_item("no end") == ("no end", "")
