@@ -69,15 +69,29 @@ class Tree:
         best = np.full((len(queries), width), np.inf)
         rows = np.full((len(queries), width), -1)
         self.taken = 0
+        # What rounding may do to a squared distance, and the nearest vector of each query that was let go.
+        self._slack = 1e-12 * (self._qq + (self._xx.max() if len(self._xx) else 0.0))
+        self._gone = np.full(len(queries), np.inf)
         self._visit(self.root, np.arange(len(queries)), best, rows, factor)
         return best, rows, self.taken
 
+    def tied(self, best: np.ndarray, rows: np.ndarray, q: int) -> np.ndarray:
+        """The rows of the last search for query ``q``, and all others that rounding cannot tell from its farthest."""
+        most = best[q].max() ** 2 + self._slack[q]
+        if self._gone[q] ** 2 > most:
+            return rows[q][rows[q] >= 0]
+        gap = self._xx + self._qq[q] - 2 * self.lifted @ self._q[q]
+        return np.flatnonzero(gap <= most + self._slack[q])
+
     def _offer(self, who: np.ndarray, cand: np.ndarray, d: np.ndarray, best: np.ndarray, rows: np.ndarray) -> None:
         self.taken += d.size
         width = best.shape[1]
         alld = np.c_[best[who], d]
         allr = np.c_[rows[who], np.broadcast_to(cand, d.shape)]
-        top = np.argpartition(alld, width - 1, axis=1)[:, :width]
+        order = np.argpartition(alld, width - 1, axis=1)
+        top = order[:, :width]
+        if alld.shape[1] > width:
+            self._gone[who] = np.minimum(self._gone[who], np.take_along_axis(alld, order[:, width:], 1).min(axis=1))
         best[who] = np.take_along_axis(alld, top, 1)
         rows[who] = np.take_along_axis(allr, top, 1)
 
@@ -98,7 +112,7 @@ class Tree:
         for first, child, bound in ((inner, near, "near"), (~inner, far, "far"), (~inner, near, "near"), (inner, far, "far")):
             at = np.flatnonzero(first)
             radius = best[who[at]].max(axis=1)
-            at = at[below[bound][at] * factor <= radius * (1 + 1e-9) + 1e-12]
+            at = at[(below[bound][at] * factor) ** 2 <= radius**2 * (1 + 1e-9) + self._slack[who[at]]]
             self._visit(child, who[at], best, rows, factor)
 
 
@@ -140,10 +154,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
             for packed_tree, packed in zip(b.column(0), b.column(1), strict=True):
                 tree: Tree = pickle.loads(packed_tree.as_py())
                 ids, vectors = pickle.loads(packed.as_py())
-                _, rows, _ = tree.search(vectors, k, factor)
+                best, rows, _ = tree.search(vectors, k, factor)
                 out_q, out_v, out_s = [], [], []
                 for q in range(len(ids)):
-                    mine = rows[q][rows[q] >= 0]
+                    mine = tree.tied(best, rows, q)
                     score = (tree.vectors[mine] * vectors[q]).sum(axis=1)  # the same sum for equal vectors, in every shard
                     cand = np.concatenate([tree.ids[r] for r in mine])
                     value = np.repeat(score, [len(tree.ids[r]) for r in mine])

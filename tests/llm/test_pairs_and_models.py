@@ -171,6 +171,14 @@ def test_search_is_exact_with_factor_one(spark, sf_dir):
     assert vp_search.search(few, few.filter("vec_id = 0")).count() == 2
 
 
+def test_distinct_ties_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, *map(float, np.binary_repr(int(x), 11))]) for i, x in enumerate(rng.permutation(2000))]
+    df = spark.createDataFrame([*rows, (5000, [1.0] + [0.0] * 11)], "vec_id long, embedding array<double>")
+    out = vp_search.search(df, df.filter("vec_id = 5000"), k=5, shard_rows=1500).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in out) == [(n + 1, n, 1.0) for n in range(5)]
+
+
 def test_relaxed_search_visits_less_and_keeps_its_recall():
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(40, 16))
