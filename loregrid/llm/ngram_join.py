@@ -2,15 +2,16 @@
 
 All n-grams have one global order, by an approximate count (a fixed-size sketch over all documents) and
 then by hash. A document's first ``n - ceil(t n) + 1`` n-grams in it, its prefix, must meet the prefix of
-any document that it links with, and in so many n-grams as sizes and overlap ask for (see ``_need``): few
-other meetings pass that count. For the pairs that remain the global order is cut into fragments of about
-equal numbers of n-grams: every document's set is cut into segments, a pair's overlap is counted in each
-fragment apart, and the partial counts are summed.
+any document that it links with, and in so many n-grams as sizes and overlap ask for (see ``_need``); sizes,
+that count and a parity bitmap of each set rule out most meetings without error. For the pairs that remain
+the global order is cut into fragments of about equal numbers of n-grams: every document's set is cut into
+segments, a pair's overlap is counted in each fragment apart, and the partial counts are summed.
 
 Documents of equal sets are one class. To keep large groups of near copies linear, meetings are checked
-first against one central document of each n-gram's group; only meetings between what is still in
-different components are then listed, and none within the component of the group's centre. No link is
-lost: a pair that is not listed is in one component already.
+first against two central documents of each n-gram's group; only meetings between what is still in
+different components are then listed, and none within the component of the group's centre: at the least of
+the HEAD smallest n-grams of both prefixes where they share one, so that near copies meet once and not in
+each n-gram. No link is lost: a pair that is not listed is in one component already.
 
 Hot keys: copies are one entry for each task before anything is shuffled; an n-gram that the sketch counts
 often is dealt into pieces of about ``piece`` documents, whose centres meet the centre of the whole; what
@@ -43,6 +44,8 @@ from loregrid.llm.io import cut, fewer, remove, stored
 SKETCH_BITS, FILTER_BITS, FRAGMENTS = 18, 23, 8
 #: Documents in a piece of a hot n-gram, pairs in a group of a central document, sets that a task remembers to skip copies.
 PIECE, SPREAD, REMEMBERED = 1 << 16, 256, 1 << 17
+#: Smallest n-grams of a prefix that tell where two sets meet; bits of a set's bitmap, and those of sets from LARGE on.
+HEAD, BITS, LARGE, LARGE_BITS = 8, 256, 900, 4096
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -56,6 +59,13 @@ def _bucket(u: np.ndarray) -> np.ndarray:
     return (u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _bitmap(u: np.ndarray) -> np.ndarray:
+    """Which buckets hold an odd number of the n-grams, as longs: two bitmaps are no farther apart than their sets."""
+    bits = BITS if len(u) < LARGE else LARGE_BITS
+    odd = np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.uint64)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     flat = np.concatenate([*arrays, np.zeros(0, np.uint64)])
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat.view(np.int64)))
@@ -108,9 +118,10 @@ def _counts(rows: DataFrame, k: int) -> np.ndarray:
 
 
 def _described(rows: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
-    """(id, n, sid, prefix, hot) of each row; sid is null without n-grams.
+    """(id, n, sid, maps, head, prefix, hot) of each row; sid is null without n-grams.
 
-    prefix and hot (n-grams dealt into ``s`` pieces) are those of the set, empty where this task has given them already.
+    maps is the set's bitmap, head has the HEAD smallest n-grams of its prefix. prefix and hot (n-grams dealt
+    into ``s`` pieces) are empty where this task has given those of the set already.
     """
     shared = rows.sparkSession.sparkContext.broadcast(order)  # of fixed size
 
@@ -118,11 +129,14 @@ def _described(rows: DataFrame, k: int, percent: int, order: Order) -> DataFrame
         by, seen, none = shared.value, set(), np.zeros(0, np.uint64)
         for b in batches:
             for i, j, sets in _sets(b.column(2), k):
-                sid, prefix, hot, pieces = [], [], [], []
+                sid, prefix, hot, pieces, head = [], [], [], [], []
                 for u in sets:
                     s = _set_id(u) if len(u) else None
                     sid.append(s)
-                    first = by.prefix(u, percent) if s is not None and s not in seen else none
+                    first = by.prefix(u, percent) if len(u) else none
+                    head.append(np.sort(first)[:HEAD])
+                    if s in seen:
+                        first = none
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(s)
@@ -133,11 +147,11 @@ def _described(rows: DataFrame, k: int, percent: int, order: Order) -> DataFrame
                 grams = _lists(hot)
                 pairs = pa.StructArray.from_arrays([grams.values, pa.array(np.concatenate([*pieces, np.zeros(0, np.int32)]), pa.int32())], names=["gram", "s"])
                 yield pa.record_batch(
-                    [b.column(0).slice(i, j - i), pa.array([len(u) for u in sets], pa.int64()), pa.array(sid, pa.int64()), _lists(prefix), pa.ListArray.from_arrays(grams.offsets, pairs)],
-                    names=["id", "n", "sid", "prefix", "hot"],
+                    [b.column(0).slice(i, j - i), pa.array([len(u) for u in sets], pa.int64()), pa.array(sid, pa.int64()), _lists([_bitmap(u) for u in sets]), _lists(head), _lists(prefix), pa.ListArray.from_arrays(grams.offsets, pairs)],
+                    names=["id", "n", "sid", "maps", "head", "prefix", "hot"],
                 )
 
-    return rows.mapInArrow(run, "id long, n long, sid long, prefix array<long>, hot array<struct<gram:long,s:int>>")
+    return rows.mapInArrow(run, "id long, n long, sid long, maps array<long>, head array<long>, prefix array<long>, hot array<struct<gram:long,s:int>>")
 
 
 def _wanted(keys: DataFrame) -> np.ndarray:
@@ -182,6 +196,15 @@ def _sized(percent: int) -> Column:
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
 
+def _not_apart(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose bitmaps do not rule a link out; those of unlike lengths say nothing."""
+    of = lambda end: members.select(F.col("sid").alias(end), F.col("maps").alias(f"maps_{end}")).hint("shuffle_hash")
+    both = pairs.select("a", "b", "na", "nb").join(of("a"), "a").join(of("b"), "b")
+    apart = F.aggregate(F.zip_with("maps_a", "maps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    fine = (F.size("maps_a") != F.size("maps_b")) | (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    return both.filter(fine).select("a", "b", "na", "nb")
+
+
 def _linked(rows: DataFrame, pairs: DataFrame, members: DataFrame, k: int, percent: int, order: Order) -> tuple[DataFrame, list[str]]:
     """(the links (a, b) among the pairs (a, b, na, nb) of set ids, the folders they are made from).
 
@@ -226,13 +249,13 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     order = Order(_counts(rows, k), piece)
     some_hot = bool((order.pieces > 1).any())
     told, told_at = stored(_described(rows, k, percent, order))
-    members = told.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    members = told.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("maps").alias("maps"), F.first("head").alias("head"))
     sizes = lambda end: members.select(F.col("sid").alias(end), F.col("n").alias(f"n{end}")).hint("shuffle_hash")
 
     cells = told.select(F.explode("prefix").alias("cell"), "sid").repartition("cell")
-    shared = cells.groupBy("cell").agg(F.min("sid").alias("center"), F.max("sid").alias("high")).filter("center <> high").drop("high")
+    shared = cells.groupBy("cell").agg(F.min("sid").alias("center"), F.max("sid").alias("high")).filter("center <> high")
     met, met_at = stored(fewer(cells.join(shared.hint("shuffle_hash"), "cell").distinct()))
-    star = met.filter("sid <> center").groupBy(F.col("center").alias("a"), F.col("sid").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    star = met.select(F.explode(F.array("center", "high")).alias("a"), F.col("sid").alias("b"), "center", "high").filter("a <> b and (a <> high or b <> center)").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
     if some_hot:
         hot = _hot(told)
         centers = hot.groupBy("gram", "cell").agg(F.min("sid").alias("b"))
@@ -243,18 +266,18 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
         star = star.unionByName(more).groupBy("a", "b").agg(F.sum("times").alias("times"))
     # A guess that only saves work: a link of a document and a centre mostly meets in a good part of what it must share.
     star = star.join(sizes("b"), "b").join(sizes("a"), "a").filter(_sized(percent) & (F.col("times") * 4 >= _need(percent)))
-    found = _joined(spark, _linked(rows, star.select("a", "b", "na", "nb"), members, k, percent, order))
+    found = _joined(spark, _linked(rows, _not_apart(star, members, percent), members, k, percent, order))
 
     # What is left: n-grams that documents of several components have in their prefixes.
     component = F.coalesce("component", "sid")
 
     def placed(df: DataFrame) -> DataFrame:
-        return df.join(found.withColumnRenamed("node", "sid").hint("shuffle_hash"), "sid", "left").withColumn("component", component).join(members.select("sid", "n").hint("shuffle_hash"), "sid")
+        return df.join(found.withColumnRenamed("node", "sid").hint("shuffle_hash"), "sid", "left").withColumn("component", component).join(members.select("sid", "n", "head").hint("shuffle_hash"), "sid")
 
     # Within a cell nothing pairs but what is not of the lowest component, the centre's, with the rest.
     usual = placed(met.select("cell", "sid")).repartition("cell")
     open_ = usual.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").drop("high")
-    left = usual.join(open_.hint("shuffle_hash"), "cell").select("cell", "sid", "n", "component", "low")
+    left = usual.join(open_.hint("shuffle_hash"), "cell").select("cell", F.col("cell").alias("gram"), "sid", "n", "head", "component", "low")
     right = left.filter("component <> low")
     if some_hot:
         wide = placed(hot)
@@ -262,13 +285,19 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
         piece_of = several.select("low", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"), "gram").select("low", F.xxhash64("gram", "j").alias("cell"))
         wide = wide.join(piece_of.hint("shuffle_hash"), "cell")
         left = left.unionByName(wide.select(*left.columns))
-        visits = wide.filter("component <> low").select("gram", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"), "sid", "n", "component", "low")
-        right = right.unionByName(visits.select(F.xxhash64("gram", "j").alias("cell"), "sid", "n", "component", "low"))
-    right = right.select("cell", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+        visits = wide.filter("component <> low").select("gram", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"), "sid", "n", "head", "component", "low")
+        right = right.unionByName(visits.select(F.xxhash64("gram", "j").alias("cell"), "gram", "sid", "n", "head", "component", "low"))
+    right = right.select("cell", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("head").alias("hb"))
+    # Where the heads share an n-gram, the pair meets at the least of them and nowhere else.
+    where = F.array_min(F.array_intersect("head", "hb"))
     meets = left.withColumnsRenamed({"sid": "a", "n": "na"}).join(right.hint("shuffle_hash"), "cell")
-    meets = meets.filter((F.col("component") != F.col("cb")) & ((F.col("component") == F.col("low")) | (F.col("a") < F.col("b"))) & _sized(percent))
-    rest = meets.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.max(F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb"))).alias("na"), F.max(F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na"))).alias("nb"))
-    links, paths = _linked(rows, rest.filter(F.col("times") >= _need(percent)).select("a", "b", "na", "nb"), members, k, percent, order)
+    meets = meets.filter((F.col("component") != F.col("cb")) & ((F.col("component") == F.col("low")) | (F.col("a") < F.col("b"))) & _sized(percent) & (where.isNull() | (where == F.col("gram"))))
+    meets = meets.withColumn("once", where.isNotNull())
+    flip = F.col("a") < F.col("b")
+    ends = [F.when(flip, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))]
+    rest = meets.select(*ends, "once").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.max("once").alias("once"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    rest = _not_apart(rest.filter(F.col("once") | (F.col("times") >= _need(percent))), members, percent)
+    links, paths = _linked(rows, rest, members, k, percent, order)
     of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     links = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = _joined(spark, (links, paths))  # of components

@@ -294,3 +294,21 @@ def test_pipeline_does_what_its_stages_say(spark, sf_dir):
         docs, rows = spark.createDataFrame(list(kept.items()), "doc_id long, text string").join(docs.drop("text"), "doc_id").select(*columns), kept
     final = {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert final == rows.keys()
+
+
+def test_join_deals_hot_ngrams_into_pieces(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(240):  # near copies of one text, many of them borderline, and texts that only share their rare end
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = f"e{i}-{rng.randint(0, 9)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join([*(f"o{rng.randint(0, 3)}" for _ in range(30)), *base[:20]])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, percent in ((3, 90), (3, 80)):
+        want = classes(rows, k, percent)
+        assert len({c for _, c in want.values()}) > 20
+        for piece in (16, 1 << 16):
+            assert {r[0]: (r[1], r[2]) for r in ngram_join.similar(docs, k, percent, piece=piece).collect()} == want
