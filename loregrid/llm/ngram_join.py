@@ -44,8 +44,9 @@ from loregrid.llm.io import cut, fewer, remove, stored
 SKETCH_BITS, FILTER_BITS, FRAGMENTS = 18, 23, 8
 #: Documents in a piece of a hot n-gram, pairs in a group of a central document, sets that a task remembers to skip copies.
 PIECE, SPREAD, REMEMBERED = 1 << 16, 256, 1 << 17
-#: Smallest n-grams of a prefix that tell where two sets meet; bits of a set's bitmap, and those of sets from LARGE on.
-HEAD, BITS, LARGE, LARGE_BITS = 8, 256, 900, 4096
+#: Smallest n-grams of a prefix that tell where two sets meet. Sets from LARGE on have a bitmap of LARGE_BITS beside that of 256.
+HEAD, LARGE, LARGE_BITS = 8, 900, 4096
+_MAPS = ["m0", "m1", "m2", "m3"]
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -59,9 +60,8 @@ def _bucket(u: np.ndarray) -> np.ndarray:
     return (u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _bitmap(u: np.ndarray) -> np.ndarray:
-    """Which buckets hold an odd number of the n-grams, as longs: two bitmaps are no farther apart than their sets."""
-    bits = BITS if len(u) < LARGE else LARGE_BITS
+def _bitmap(u: np.ndarray, bits: int) -> np.ndarray:
+    """Which of ``bits`` buckets hold an odd number of the n-grams, as longs: two bitmaps are no farther apart than their sets."""
     odd = np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd).view(np.uint64)
 
@@ -118,9 +118,9 @@ def _counts(rows: DataFrame, k: int) -> np.ndarray:
 
 
 def _described(rows: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
-    """(id, n, sid, maps, head, prefix, hot) of each row; sid is null without n-grams.
+    """(id, n, sid, m0..m3, large, head, prefix, hot) of each row; sid is null without n-grams.
 
-    maps is the set's bitmap, head has the HEAD smallest n-grams of its prefix. prefix and hot (n-grams dealt
+    m0 to m3 are the set's bitmap, large its larger one if it has one, head has the HEAD smallest n-grams of its prefix. prefix and hot (n-grams dealt
     into ``s`` pieces) are empty where this task has given those of the set already.
     """
     shared = rows.sparkSession.sparkContext.broadcast(order)  # of fixed size
@@ -130,6 +130,7 @@ def _described(rows: DataFrame, k: int, percent: int, order: Order) -> DataFrame
         for b in batches:
             for i, j, sets in _sets(b.column(2), k):
                 sid, prefix, hot, pieces, head = [], [], [], [], []
+                maps = np.stack([_bitmap(u, 256) for u in sets]).view(np.int64)
                 for u in sets:
                     s = _set_id(u) if len(u) else None
                     sid.append(s)
@@ -147,11 +148,11 @@ def _described(rows: DataFrame, k: int, percent: int, order: Order) -> DataFrame
                 grams = _lists(hot)
                 pairs = pa.StructArray.from_arrays([grams.values, pa.array(np.concatenate([*pieces, np.zeros(0, np.int32)]), pa.int32())], names=["gram", "s"])
                 yield pa.record_batch(
-                    [b.column(0).slice(i, j - i), pa.array([len(u) for u in sets], pa.int64()), pa.array(sid, pa.int64()), _lists([_bitmap(u) for u in sets]), _lists(head), _lists(prefix), pa.ListArray.from_arrays(grams.offsets, pairs)],
-                    names=["id", "n", "sid", "maps", "head", "prefix", "hot"],
+                    [b.column(0).slice(i, j - i), pa.array([len(u) for u in sets], pa.int64()), pa.array(sid, pa.int64()), *(pa.array(m.copy()) for m in maps.T), _lists([_bitmap(u, LARGE_BITS) if len(u) >= LARGE else none for u in sets]), _lists(head), _lists(prefix), pa.ListArray.from_arrays(grams.offsets, pairs)],
+                    names=["id", "n", "sid", *_MAPS, "large", "head", "prefix", "hot"],
                 )
 
-    return rows.mapInArrow(run, "id long, n long, sid long, maps array<long>, head array<long>, prefix array<long>, hot array<struct<gram:long,s:int>>")
+    return rows.mapInArrow(run, "id long, n long, sid long, m0 long, m1 long, m2 long, m3 long, large array<long>, head array<long>, prefix array<long>, hot array<struct<gram:long,s:int>>")
 
 
 def _wanted(keys: DataFrame) -> np.ndarray:
@@ -196,13 +197,21 @@ def _sized(percent: int) -> Column:
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
 
+def _near(percent: int) -> Column:
+    """Whether the bitmaps m0.. and o0.. of sets of sizes na and nb allow a link; never false for one."""
+    apart = sum(F.bit_count(F.col(m).bitwiseXOR(F.col(f"o{m[1:]}"))) for m in _MAPS)
+    return apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+
+
 def _not_apart(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose bitmaps do not rule a link out; those of unlike lengths say nothing."""
-    of = lambda end: members.select(F.col("sid").alias(end), F.col("maps").alias(f"maps_{end}")).hint("shuffle_hash")
-    both = pairs.select("a", "b", "na", "nb").join(of("a"), "a").join(of("b"), "b")
-    apart = F.aggregate(F.zip_with("maps_a", "maps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    fine = (F.size("maps_a") != F.size("maps_b")) | (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
-    return both.filter(fine).select("a", "b", "na", "nb")
+    """The pairs (a, b, na, nb) without those of large sets whose large bitmaps rule a link out."""
+    large = members.filter(F.col("n") >= LARGE)
+    of = lambda end: large.select(F.col("sid").alias(end), F.col("large").alias(f"large_{end}")).hint("shuffle_hash")
+    big = F.least("na", "nb") >= LARGE
+    both = pairs.filter(big).select("a", "b", "na", "nb").join(of("a"), "a").join(of("b"), "b")
+    apart = F.aggregate(F.zip_with("large_a", "large_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    fine = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    return pairs.filter(~big).select("a", "b", "na", "nb").unionByName(both.filter(fine).select("a", "b", "na", "nb"))
 
 
 def _linked(rows: DataFrame, pairs: DataFrame, members: DataFrame, k: int, percent: int, order: Order) -> tuple[DataFrame, list[str]]:
@@ -249,8 +258,8 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     order = Order(_counts(rows, k), piece)
     some_hot = bool((order.pieces > 1).any())
     told, told_at = stored(_described(rows, k, percent, order))
-    members = told.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("maps").alias("maps"), F.first("head").alias("head"))
-    sizes = lambda end: members.select(F.col("sid").alias(end), F.col("n").alias(f"n{end}")).hint("shuffle_hash")
+    members = told.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), *(F.max(m).alias(m) for m in _MAPS), F.first("large").alias("large"), F.first("head").alias("head"))
+    known = lambda end, letter: members.select(F.col("sid").alias(end), F.col("n").alias(f"n{end}"), *(F.col(m).alias(f"{letter}{m[1:]}") for m in _MAPS)).hint("shuffle_hash")
 
     cells = told.select(F.explode("prefix").alias("cell"), "sid").repartition("cell")
     shared = cells.groupBy("cell").agg(F.min("sid").alias("center"), F.max("sid").alias("high")).filter("center <> high")
@@ -265,19 +274,19 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
         more = more.filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
         star = star.unionByName(more).groupBy("a", "b").agg(F.sum("times").alias("times"))
     # A guess that only saves work: a link of a document and a centre mostly meets in a good part of what it must share.
-    star = star.join(sizes("b"), "b").join(sizes("a"), "a").filter(_sized(percent) & (F.col("times") * 4 >= _need(percent)))
+    star = star.join(known("b", "m"), "b").join(known("a", "o"), "a").filter(_sized(percent) & _near(percent) & (F.col("times") * 4 >= _need(percent)))
     found = _joined(spark, _linked(rows, _not_apart(star, members, percent), members, k, percent, order))
 
     # What is left: n-grams that documents of several components have in their prefixes.
     component = F.coalesce("component", "sid")
 
     def placed(df: DataFrame) -> DataFrame:
-        return df.join(found.withColumnRenamed("node", "sid").hint("shuffle_hash"), "sid", "left").withColumn("component", component).join(members.select("sid", "n", "head").hint("shuffle_hash"), "sid")
+        return df.join(found.withColumnRenamed("node", "sid").hint("shuffle_hash"), "sid", "left").withColumn("component", component).join(members.select("sid", "n", "head", *_MAPS).hint("shuffle_hash"), "sid")
 
     # Within a cell nothing pairs but what is not of the lowest component, the centre's, with the rest.
     usual = placed(met.select("cell", "sid")).repartition("cell")
     open_ = usual.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").drop("high")
-    left = usual.join(open_.hint("shuffle_hash"), "cell").select("cell", F.col("cell").alias("gram"), "sid", "n", "head", "component", "low")
+    left = usual.join(open_.hint("shuffle_hash"), "cell").select("cell", F.col("cell").alias("gram"), "sid", "n", "head", "component", "low", *_MAPS)
     right = left.filter("component <> low")
     if some_hot:
         wide = placed(hot)
@@ -285,13 +294,13 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
         piece_of = several.select("low", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"), "gram").select("low", F.xxhash64("gram", "j").alias("cell"))
         wide = wide.join(piece_of.hint("shuffle_hash"), "cell")
         left = left.unionByName(wide.select(*left.columns))
-        visits = wide.filter("component <> low").select("gram", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"), "sid", "n", "head", "component", "low")
-        right = right.unionByName(visits.select(F.xxhash64("gram", "j").alias("cell"), "gram", "sid", "n", "head", "component", "low"))
-    right = right.select("cell", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("head").alias("hb"))
+        visits = wide.filter("component <> low").select("gram", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"), "sid", "n", "head", "component", "low", *_MAPS)
+        right = right.unionByName(visits.select(F.xxhash64("gram", "j").alias("cell"), "gram", "sid", "n", "head", "component", "low", *_MAPS))
+    right = right.select("cell", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("head").alias("hb"), *(F.col(m).alias(f"o{m[1:]}") for m in _MAPS))
     # Where the heads share an n-gram, the pair meets at the least of them and nowhere else.
     where = F.array_min(F.array_intersect("head", "hb"))
     meets = left.withColumnsRenamed({"sid": "a", "n": "na"}).join(right.hint("shuffle_hash"), "cell")
-    meets = meets.filter((F.col("component") != F.col("cb")) & ((F.col("component") == F.col("low")) | (F.col("a") < F.col("b"))) & _sized(percent) & (where.isNull() | (where == F.col("gram"))))
+    meets = meets.filter((F.col("component") != F.col("cb")) & ((F.col("component") == F.col("low")) | (F.col("a") < F.col("b"))) & _sized(percent) & _near(percent) & (where.isNull() | (where == F.col("gram"))))
     meets = meets.withColumn("once", where.isNotNull())
     flip = F.col("a") < F.col("b")
     ends = [F.when(flip, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))]
