@@ -2,7 +2,8 @@
 
 A visitor flattens text, image, audio and document parts into one text per turn: a part that is not text
 becomes a numbered placeholder, and its reference and expanded token count are recorded. The template
-marks turns; control strings inside texts are escaped so that the output can be read back.
+marks turns; control strings inside texts are escaped so that the output can be read back, and neighbouring
+text parts are one text before that.
 
 Defined results: a null text is empty; a null role is the empty role; turns are ordered by (turn, role,
 text), nulls first, and repeated rows are repeated turns; a null conversation id is a conversation like
@@ -111,7 +112,7 @@ def unescape_role(role: str) -> str:
 
 
 def parts_of(text: str | None, parts: list[dict] | None) -> list:
-    """The typed parts of a row: its text, if any, then its parts; an unknown kind is text."""
+    """The typed parts of a row: its text, if any, then its parts; an unknown kind is text, and so is one without kind."""
     out: list = [Text(text)] if text else []
     for p in parts or []:
         if p is None:
@@ -128,12 +129,23 @@ def parts_of(text: str | None, parts: list[dict] | None) -> list:
     return out
 
 
+def joined(parts: list) -> list:
+    """Neighbouring texts as one, so that no control string arises where two of them meet."""
+    out: list = []
+    for p in parts:
+        if isinstance(p, Text) and out and isinstance(out[-1], Text):
+            out[-1] = Text(out[-1].text + p.text)
+        elif not isinstance(p, Text) or p.text:
+            out.append(p)
+    return out
+
+
 def format_turns(turns: list[tuple[str, list]], learn: str = "assistant") -> dict:
     """One conversation; ``loss`` has the code points of each ``learn`` turn's text in ``formatted``."""
     visitor, out, at, loss, where = Flattener(), [], 0, [], []
     for n, (role, parts) in enumerate(turns):
         seen = len(visitor.attachments)
-        head, body = f"{START}{escape_role(role)}\n", "".join(p.accept(visitor) for p in parts)
+        head, body = f"{START}{escape_role(role)}\n", "".join(p.accept(visitor) for p in joined(parts))
         where += [n] * (len(visitor.attachments) - seen)
         if role == learn:
             loss.append({"start": at + len(head), "end": at + len(head) + len(body)})

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from loregrid.llm.arrays import plain, shingles, sliced, words
+from loregrid.llm.io import mapped, remove, stored
 
 UNIT, RUN = 64, 5
 BLOCK_ITEMS, POSTINGS_IN_BLOCK = 20_000, 64
@@ -266,8 +267,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     blocks = max(1, -(-items.count() // block_items))
     items = items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     given = [f for f in docs.schema.fields if f.name != "hits"]
-    schema = StructType([*given, StructField("hits", _HIT)])
-    out = docs.select(*[f"`{f.name}`" for f in given]).withColumn("hits", F.array().cast(_HIT))
+    at, hits_at = [f.name for f in given].index(text_col), StructField("hits", _HIT)
+    if blocks > 1:
+        docs = docs.withColumn("hits", F.array().cast(_HIT))
+    out, path = docs, None
     # One item at a time passes the driver; what stays is a number for each distinct term.
     known = Statistics(r["text"] for r in items.select("text").toLocalIterator()) if blocks > 1 else None
     for block in range(blocks):
@@ -278,13 +281,21 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index: Index = shared.value
             for b in batches:
-                texts = plain(b.column(b.schema.names.index(text_col)))
+                texts = plain(b.column(at))
                 old = b.column(len(given)).to_pylist() if blocks > 1 else [[]] * len(texts)
                 hits: list = []
                 for _, _, data, offsets in sliced(texts):
                     hits += index.hits(*words(data, offsets), percent)
                 both = [sorted(x + y, key=lambda h: h["item_id"]) for x, y in zip(old, hits, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(given))), pa.array(both, _ARROW)], names=schema.names)
-
-        out = out.mapInArrow(run, schema)
+                every = [*(b.column(i) for i in range(len(given))), pa.array(both, _ARROW)]
+                yield pa.RecordBatch.from_arrays(every, names=[f"c{c}" for c in range(len(every))])
+
+        if blocks == 1:
+            return mapped(out, given, [hits_at], run)
+        # One index at a time: its pass is written before the next is built, and the broadcast goes.
+        made = mapped(out, [*given, hits_at], [], run)
+        last, (out, path) = path, stored(made)
+        shared.destroy()
+        if last:
+            remove(docs.sparkSession, last)
     return out

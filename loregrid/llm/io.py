@@ -4,14 +4,43 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def mapped(docs: DataFrame, given: list[StructField], added: list[StructField], run: Callable) -> DataFrame:
+    """``mapInArrow`` from the columns ``given`` of ``docs`` to the same and ``added``, whatever their names.
+
+    ``run`` gets and yields batches by position; it yields names c0, c1, ... for all of them.
+    """
+    short = [StructField(f"c{i}", f.dataType) for i, f in enumerate([*given, *added])]
+    rows = docs.select(*(named(f.name).alias(c.name) for f, c in zip(given, short, strict=False)))
+    return rows.mapInArrow(run, StructType(short)).toDF(*(f.name for f in [*given, *added]))
+
+
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with so many underscores before it that ``docs`` has no such column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame, small: bool = False) -> DataFrame:
     """A reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
 

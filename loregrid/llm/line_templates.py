@@ -1,39 +1,42 @@
 """Line deduplication by a log-template tree, with DataFrame functions alone.
 
 A line is parsed to a fixed depth: by its number of tokens, then by its leading tokens, where a token with
-a figure stands for any. The lines of one leaf are compared with the leaf's commonest line, in up to eight
-runs of tokens: a line that agrees in ``alike`` percent of them shares its template, and the runs that
-differ are variable fields; any other line is a template of its own. A template recurs when its lines
-stand in at least ``min_docs`` different texts (``min_docs_short`` for lines of under ``short`` tokens).
-With ``several`` a leaf has as many templates as it needs: its forms pass by rank, and each joins the first
-representative that has ``alike`` percent of its tokens, or becomes one; none is left over. Lines of
-``long`` tokens or more then recur from ``min_docs_long`` texts on. The query and its SQL have one template a
-leaf, the pipeline has several.
+a figure stands for any. In a leaf the line forms pass by rank (the number of texts, then the digest), and
+each joins the first representative that has ``alike`` percent of its tokens at the same places, or becomes
+one: a representative and its forms are a template, the places where they differ its variable fields, and a
+leaf has as many templates as it needs. A line of under DEPTH + 2 tokens is a template of its own, since
+nothing but the variable field stands behind the leading tokens.
+
+A template recurs when its lines stand in at least ``min_docs`` different texts, in ``min_docs_short`` for
+lines of under ``short`` tokens and in ``min_docs_long`` for those of ``long`` tokens or more.
 
 The text with the smallest document id keeps the lines of a recurring template; they are dropped
 elsewhere. Exact copies of a text are one text here, so copies alone make nothing recur.
 
 Lines travel as hashes and ids; texts are shuffled once, to their dropped positions. Joins hash the side
 whose keys are unique, so that nothing wide is sorted; keys with over a thousandth of all lines are
-broadcast, so that a frequent line never gathers in one task.
+broadcast, so that a frequent line never gathers in one task. A leaf gives its BLOCK best forms to a fold at
+a time; what fits none of their representatives is compared with the next ones, so no leaf is gathered.
 
 Defined results: lines end at line feeds; tokens are runs of other characters than blanks (U+0020, U+0009
 to U+000D), compared with their case; a line without tokens is never dropped; null texts stay null, empty
 texts and texts that lose every line are empty; repeated rows give repeated rows; all columns of the input
-stay, n_chars, if there, follows the new text; an empty table gives no rows. Ids are integers.
+stay, whatever their names, but n_lines and n_dropped, which are replaced; n_chars, if there, follows the
+new text; an empty table gives no rows. Ids are integers; rows with a null id keep their lines only where
+no other text has them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loregrid.llm.io import cut
+from loregrid.llm.io import cut, free, named
 
-DEPTH, RUNS, ALIKE = 3, 8, 75
-MIN_DOCS, SHORT, MIN_DOCS_SHORT = 3, 8, 10
-#: With several templates a leaf.
-LONG, MIN_DOCS_LONG = 50, 2
+DEPTH, ALIKE = 3, 75
+MIN_DOCS, SHORT, MIN_DOCS_SHORT, LONG, MIN_DOCS_LONG = 3, 8, 10, 50, 2
+#: Forms of a leaf that meet in one row.
+BLOCK = 256
 #: A key with more than this share of all lines is heavy: so there are at most so many heavy keys, which are broadcast.
 HEAVY = 1000
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -50,7 +53,7 @@ def _digest(x: Column) -> Column:
 
 def _whole(text_col: str) -> Column:
     """60 bits that name a text."""
-    return F.shiftrightunsigned(F.xxhash64(text_col), 4)
+    return F.shiftrightunsigned(F.xxhash64(named(text_col)), 4)
 
 
 def _pair(high: str, low: str) -> Column:
@@ -62,13 +65,10 @@ def _low(pair: str) -> Column:
     return F.pmod(F.col(pair), F.lit(2**60).cast("decimal(38,0)")).cast("long")
 
 
-def parsed(docs: DataFrame, id_col: str, text_col: str, several: bool = False) -> DataFrame:
-    """(id, whole, pos, n, leaf, form, r0..r3) of every line with a token; whole names the text, r0 to r3 hold the hashes of the runs, two each.
-
-    With ``several`` there is hashes, those of the tokens, instead of r0 to r3.
-    """
-    lines = docs.filter(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), _whole(text_col).alias("whole"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("pos", "line")
+def parsed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, whole, pos, n, leaf, form, hashes) of every line with a token; whole names the text, hashes are those of the tokens."""
+    lines = docs.filter(named(text_col).isNotNull()).select(
+        named(id_col).alias("id"), _whole(text_col).alias("whole"), F.posexplode(F.split(named(text_col).cast("string"), "\n", -1)).alias("pos", "line")
     )
     # Blanks become single spaces first, where they are not yet: parting at one plain character is much cheaper than by a pattern.
     uneven = F.col("line").startswith(" ") | F.col("line").endswith(" ")
@@ -78,16 +78,8 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, several: bool = False) -
     line = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIGURED, "<*>")).otherwise(line)
     lines = lines.select("id", "whole", "pos", line.alias("line")).filter("line <> ''").select("id", "whole", "pos", "line", F.split("line", " ").alias("tokens"))
     n = F.size("tokens")
-
-    def run(i: int) -> Column:
-        begin, end = F.floor(n * i / RUNS).cast("int"), F.floor(n * (i + 1) / RUNS).cast("int")
-        return F.hash(F.slice("tokens", begin + 1, end - begin))
-
-    pair = [F.shiftleft(run(2 * i).cast("long"), 32).bitwiseOR(run(2 * i + 1).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"r{i}") for i in range(RUNS // 2)]
-    if several:
-        pair = [F.transform("tokens", lambda x: F.hash(x)).alias("hashes")]
     leaf = F.xxhash64(n, F.slice("tokens", 1, DEPTH))
-    return lines.select("id", "whole", "pos", n.alias("n"), leaf.alias("leaf"), _digest(F.col("line")).alias("form"), *pair)
+    return lines.select("id", "whole", "pos", n.alias("n"), leaf.alias("leaf"), _digest(F.col("line")).alias("form"), F.transform("tokens", lambda x: F.hash(x)).alias("hashes"))
 
 
 def _meet(rows: DataFrame, keys: DataFrame, on: list[str], bar: int, how: str) -> DataFrame:
@@ -100,89 +92,110 @@ def _meet(rows: DataFrame, keys: DataFrame, on: list[str], bar: int, how: str) -
     return rows.join(heavy, on, how).unionByName(rows.join(heavy.select(*on), on, "left_anti").join(usual, on, how))
 
 
-def _agree(prefix: str) -> Column:
-    """How many of the runs of a line and of the leaf's commonest line are equal."""
-    total = F.lit(0)
-    for i in range(RUNS // 2):
-        apart = F.col(f"r{i}").bitwiseXOR(F.col(f"{prefix}r{i}"))
-        total = total + (F.shiftrightunsigned(apart, 32) == 0).cast("int") + (apart.bitwiseAND(F.lit(0xFFFFFFFF)) == 0).cast("int")
-    return total
+def _bar(min_docs: int = MIN_DOCS, short: int = SHORT, min_docs_short: int = MIN_DOCS_SHORT, long: int = LONG, min_docs_long: int = MIN_DOCS_LONG) -> Column:
+    """How many texts a template of n tokens needs."""
+    return F.when(F.col("n") < short, min_docs_short).when(F.col("n") >= long, min_docs_long).otherwise(min_docs)
 
 
-def _bar(several: bool = False, min_docs: int = MIN_DOCS, short: int = SHORT, min_docs_short: int = MIN_DOCS_SHORT, long: int = LONG, min_docs_long: int = MIN_DOCS_LONG) -> Column:
-    """How many texts a template of n tokens needs."""
-    bar = F.when(F.col("n") < short, min_docs_short)
-    return (bar.when(F.col("n") >= long, min_docs_long) if several else bar).otherwise(min_docs)
+def _fit(known: Column, hashes: Column, alike: int) -> Column:
+    """The first of the representatives that has ``alike`` percent of the tokens, or null."""
 
+    def fits(y: Column) -> Column:
+        equal = F.filter(F.zip_with(hashes, y["hashes"], lambda a, b: a == b), lambda e: e)
+        return F.size(equal) * 100 >= F.size(hashes) * alike
 
-def _first_fits(forms: DataFrame, tokens: DataFrame, alike: int) -> DataFrame:
-    """(leaf, form, template) of the forms in leaves of more than one: a fold by rank over the forms of a leaf, until none is left.
+    return F.get(F.filter(known, fits), F.lit(0))["form"]
 
-    A leaf's distinct forms meet in one task; their tokens come from the text that owns the form.
-    """
-    shared = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms")).filter("forms > 1").select("leaf")
-    open_ = forms.filter(F.col("n") >= RUNS).join(shared.hint("shuffle_hash"), "leaf", "left_semi").select("leaf", "form", "owner", _pair("docs", "form").alias("rank"))
-    tokens = tokens.filter(F.col("n") >= RUNS).select("leaf", "form", _pair("id", "whole").alias("owner"), "hashes")
-    # A text with a form twice gives it twice: a set.
-    met = tokens.join(open_.hint("shuffle_hash"), ["leaf", "form", "owner"]).groupBy("leaf").agg(F.collect_set(F.struct("rank", "form", "hashes")).alias("met"))
-    start = F.struct(F.array().cast("array<struct<form:bigint,hashes:array<int>>>").alias("known"), F.array().cast("array<struct<form:bigint,template:bigint>>").alias("out"))
 
-    def fits(x: Column, y: Column) -> Column:
-        equal = F.filter(F.zip_with(x["hashes"], y["hashes"], lambda a, b: a == b), lambda e: e)
-        return F.size(equal) * 100 >= F.size(x["hashes"]) * alike
+def _folded(open_: DataFrame, alike: int, block: int) -> DataFrame:
+    """(leaf, low, known, out): the representatives among the ``block`` best forms of each leaf, where these forms go, and the last one's rank."""
+    best = F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("rank")))
+    met = open_.withColumn("nth", best).filter(F.col("nth") <= block).groupBy("leaf").agg(F.min("rank").alias("low"), F.collect_list(F.struct("rank", "form", "hashes")).alias("met"))
+    start = F.struct(F.array().cast("array<struct<form:bigint,hashes:array<int>>>").alias("known"), F.array().cast("array<struct<form:bigint,template:bigint>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        fit = F.get(F.filter(acc["known"], lambda y: fits(x, y)), F.lit(0))["form"]
-        known = F.when(fit.isNull(), F.concat(acc["known"], F.array(F.struct(x["form"].alias("form"), x["hashes"].alias("hashes"))))).otherwise(acc["known"])
-        return F.struct(known.alias("known"), F.concat(acc["out"], F.array(F.struct(x["form"].alias("form"), F.coalesce(fit, x["form"]).alias("template")))).alias("out"))
-
-    placed = met.select("leaf", F.explode(F.aggregate(F.reverse(F.array_sort("met")), start, step, lambda acc: acc["out"])).alias("x"))
-    return cut(placed.select("leaf", "x.form", "x.template"), small=True)
-
-
-def templates(lines: DataFrame, alike: int = ALIKE, tokens: DataFrame | None = None, **limits: int) -> DataFrame:
-    """(leaf, form, template, lines, docs, owner) of the line forms whose template recurs; with ``tokens``, lines with their hashes, by several templates a leaf."""
-    runs = [f"r{i}" for i in range(RUNS // 2)] if tokens is None else []
-    once = lines.groupBy("leaf", "form", "whole").agg(F.count(F.lit(1)).alias("lines"), F.min("id").alias("id"), F.max("n").alias("n"), *(F.max(r).alias(r) for r in runs))
-    forms = once.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("docs"), F.sum("lines").alias("lines"), F.min(_pair("id", "whole")).alias("owner"), F.max("n").alias("n"), *(F.max(r).alias(r) for r in runs))
-    if tokens is None:
-        forms = _one_template(forms, runs, alike)
-    else:
-        forms = cut(forms)
-        placed = _first_fits(forms, tokens, alike).hint("shuffle_hash")
-        forms = forms.join(placed, ["leaf", "form"], "left").withColumn("template", F.coalesce("template", "form"))
+        def placed(fit: Column) -> Column:
+            one = F.struct(x["form"].alias("form"), x["hashes"].alias("hashes"))
+            known = F.when(fit.isNull(), F.concat(acc["known"], F.array(one))).otherwise(acc["known"])
+            return F.struct(known.alias("known"), F.concat(acc["out"], F.array(F.struct(x["form"].alias("form"), F.coalesce(fit, x["form"]).alias("template")))).alias("out"))
+
+        # The fit is a variable: as an expression it would be evaluated for each of its uses.
+        return F.get(F.transform(F.array(_fit(acc["known"], x["hashes"], alike)), placed), F.lit(0))
+
+    folded = F.aggregate(F.reverse(F.array_sort("met")), start, step)
+    return met.select("leaf", "low", folded.alias("f")).select("leaf", "low", "f.known", "f.out")
+
+
+def _first_fits(forms: DataFrame, tokens: DataFrame, alike: int, block: int = BLOCK) -> DataFrame:
+    """(leaf, form, template) of the forms in leaves of more than one; their tokens come from the text that owns the form.
+
+    Each round takes a block of every leaf. The forms behind it are split among the tasks like any rows, and a
+    join to the few representatives of a hot leaf is split by Spark.
+    """
+    numbers = forms.filter(F.col("n") >= DEPTH + 2).groupBy("leaf").agg(F.count(F.lit(1)).alias("forms")).filter("forms > 1")
+    open_ = forms.join(numbers.select("leaf").hint("shuffle_hash"), "leaf", "left_semi").select("leaf", "form", "owner", _pair("docs", "form").alias("rank"))
+    tokens = tokens.filter(F.col("n") >= DEPTH + 2).select("leaf", "form", _pair("id", "whole").alias("owner"), "hashes")
+    # A text with a form twice gives it twice.
+    open_ = cut(tokens.join(open_.hint("shuffle_hash"), ["leaf", "form", "owner"]).select("leaf", "form", "rank", "hashes").distinct(), small=True)
+    more = (numbers.agg(F.max("forms")).first()[0] or 0) > block
+    out = []
+    while True:
+        folded = cut(_folded(open_, alike, block), small=True)
+        out.append(folded.select("leaf", F.explode("out").alias("x")).select("leaf", "x.form", "x.template"))
+        if not more:
+            break
+        behind = open_.join(folded.select("leaf", "low", "known"), "leaf").filter("rank < low")
+        behind = cut(behind.select("leaf", "form", "rank", "hashes", _fit(F.col("known"), F.col("hashes"), alike).alias("template")), small=True)
+        out.append(behind.filter("template is not null").select("leaf", "form", "template"))
+        open_ = behind.filter("template is null").drop("template")
+        if open_.isEmpty():
+            break
+    placed = out[0]
+    for rows in out[1:]:
+        placed = placed.unionByName(rows)
+    return placed
+
+
+def templates(lines: DataFrame, tokens: DataFrame, alike: int = ALIKE, block: int = BLOCK, **limits: int) -> DataFrame:
+    """(leaf, form, template, lines, docs, owner) of the line forms whose template recurs; ``tokens`` are lines with their hashes."""
+    once = lines.groupBy("leaf", "form", "whole").agg(F.count(F.lit(1)).alias("lines"), F.min("id").alias("id"), F.max("n").alias("n"))
+    forms = once.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("docs"), F.sum("lines").alias("lines"), F.min(_pair("id", "whole")).alias("owner"), F.max("n").alias("n"))
+    forms = cut(forms)
+    placed = _first_fits(forms, tokens, alike, block).hint("shuffle_hash")
+    forms = forms.join(placed, ["leaf", "form"], "left").withColumn("template", F.coalesce("template", "form"))
     total = forms.groupBy("leaf", "template").agg(F.sum("docs").alias("total"), F.min("owner").alias("first"), F.max("n").alias("n"))
-    total = total.filter(F.col("total") >= _bar(tokens is not None, **limits)).drop("n")
+    total = total.filter(F.col("total") >= _bar(**limits)).drop("n")
     out = forms.join(total.hint("shuffle_hash"), ["leaf", "template"])
     return out.select("leaf", "form", "template", "lines", F.col("total").alias("docs"), _low("first").alias("owner"))
 
 
-def _one_template(forms: DataFrame, runs: list[str], alike: int) -> DataFrame:
-    """``forms`` with their template: that of the leaf's commonest form, or their own."""
-    rank = _pair("docs", "form")
-    best = forms.groupBy("leaf").agg(F.max_by("form", rank).alias("best"), *(F.max_by(r, rank).alias(f"best_{r}") for r in runs))
-    shared = (_agree("best_") * 100 >= F.lit(alike * RUNS)) & (F.col("n") >= RUNS)
-    return forms.join(best.hint("shuffle_hash"), "leaf").select("leaf", "form", "docs", "lines", "owner", "n", F.when(shared, F.col("best")).otherwise(F.col("form")).alias("template"))
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines at the sorted positions ``gone``: the stretches between them, linear in its lines."""
+
+    def joined(lines: Column, bounds: Column) -> Column:
+        stretch = F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda i: F.slice(lines, F.get(bounds, i) + 2, F.get(bounds, i + 1) - F.get(bounds, i) - 1))
+        return F.array_join(F.flatten(stretch), "\n")
+
+    # Lines and bounds are variables: as expressions they would be evaluated for each stretch.
+    whole = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.get(F.transform(F.array(F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))), lambda bounds: joined(lines, bounds)), F.lit(0)))
+    return F.get(whole, F.lit(0))
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", several: bool = False, **limits: int) -> DataFrame:
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, **limits: int) -> DataFrame:
     """``docs`` without the lines of recurring templates, and two more columns: n_lines and n_dropped (long)."""
-    tokens = parsed(docs, id_col, text_col, several=True) if several else None
-    lines = cut(tokens.drop("hashes") if several else parsed(docs, id_col, text_col))
+    docs = docs.drop(*(c for c in ("n_lines", "n_dropped") if c in docs.columns))
+    tokens = parsed(docs, id_col, text_col)
+    lines = cut(tokens.drop("hashes"))
     # A template has no more lines than its leaf: most leaves hold too few and go before anything wide is shuffled.
     bar = lines.count() // HEAVY + 1
-    full = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.max("n").alias("n")).filter(F.col("lines") >= _bar(several, **limits)).drop("n")
+    full = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.max("n").alias("n")).filter(F.col("lines") >= _bar(**limits)).drop("n")
     lines = cut(_meet(lines, full, ["leaf"], bar, "left_semi"))
-    known = templates(lines, tokens=tokens, **limits).select("leaf", "form", "lines", "owner")
+    known = templates(lines, tokens, block=block, **limits).select("leaf", "form", "lines", "owner")
     dropped = _meet(lines.select("id", "whole", "pos", "leaf", "form"), known, ["leaf", "form"], bar, "inner").filter("whole <> owner")
-    dropped = dropped.groupBy("id", "whole").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
-    dropped = dropped.withColumnsRenamed({"id": "_id", "whole": "_whole"}).hint("shuffle_hash")
-    out = docs.withColumn("_key", _whole(text_col)).join(dropped, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_whole")), "left")
-    lines_of, gone = F.split(F.col(text_col), "\n", -1), F.col("_gone")
-    # The kept stretches between dropped positions, so that a text with many of them stays linear.
-    bounds = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines_of)))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(lines_of, F.get(bounds, i) + 2, F.get(bounds, i + 1) - F.get(bounds, i) - 1)))
-    text = F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = out.withColumns({"_text": text, "n_lines": F.coalesce(F.size(lines_of), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long")})
-    out = out.withColumn(text_col, F.col("_text")).drop("_text", "_key", "_id", "_whole", "_gone")
-    return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns else out
+    gone, key, own, whole = free(docs, "gone", "key", "id", "whole")
+    dropped = dropped.groupBy(F.col("id").alias(own), F.col("whole").alias(whole)).agg(F.array_sort(F.collect_set("pos")).alias(gone)).hint("shuffle_hash")
+    out = docs.withColumn(key, _whole(text_col)).join(dropped, named(id_col).eqNullSafe(F.col(own)) & (F.col(key) == F.col(whole)), "left")
+    text, given = F.when(F.col(gone).isNull(), named(text_col)).otherwise(_without(named(text_col), F.col(gone))), named(text_col)
+    lines_of = F.coalesce(F.length(given) - F.length(F.replace(given, F.lit("\n"))) + 1, F.lit(0)).cast("long")
+    out = out.select(*(text.alias(c) if c == text_col else named(c) for c in docs.columns), lines_of.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
+    return out.withColumn("n_chars", F.length(named(text_col)).cast("long")) if "n_chars" in docs.columns else out

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from loregrid.llm.arrays import mix64, plain, shingles, sliced, split_rows, words
 from loregrid.llm.components import components
-from loregrid.llm.io import cut, fewer, remove, stored
+from loregrid.llm.io import cut, fewer, named, remove, stored
 
 #: Counters of the sketch, bits of the filter of wanted documents, fragments of the global order: fixed sizes.
 SKETCH_BITS, FILTER_BITS, FRAGMENTS = 18, 23, 8
@@ -118,7 +118,7 @@ def _counts(rows: DataFrame, k: int) -> np.ndarray:
 
 
 def _described(rows: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
-    """(id, n, sid, m0..m3, large, head, prefix, hot) of each row; sid is null without n-grams.
+    """(id, text_hash, n, sid, m0..m3, large, head, prefix, hot) of each row; sid is null without n-grams.
 
     m0 to m3 are the set's bitmap, large its larger one if it has one, head has the HEAD smallest n-grams of its prefix. prefix and hot (n-grams dealt
     into ``s`` pieces) are empty where this task has given those of the set already.
@@ -148,11 +148,11 @@ def _described(rows: DataFrame, k: int, percent: int, order: Order) -> DataFrame
                 grams = _lists(hot)
                 pairs = pa.StructArray.from_arrays([grams.values, pa.array(np.concatenate([*pieces, np.zeros(0, np.int32)]), pa.int32())], names=["gram", "s"])
                 yield pa.record_batch(
-                    [b.column(0).slice(i, j - i), pa.array([len(u) for u in sets], pa.int64()), pa.array(sid, pa.int64()), *(pa.array(m.copy()) for m in maps.T), _lists([_bitmap(u, LARGE_BITS) if len(u) >= LARGE else none for u in sets]), _lists(head), _lists(prefix), pa.ListArray.from_arrays(grams.offsets, pairs)],
-                    names=["id", "n", "sid", *_MAPS, "large", "head", "prefix", "hot"],
+                    [b.column(0).slice(i, j - i), b.column(3).slice(i, j - i), pa.array([len(u) for u in sets], pa.int64()), pa.array(sid, pa.int64()), *(pa.array(m.copy()) for m in maps.T), _lists([_bitmap(u, LARGE_BITS) if len(u) >= LARGE else none for u in sets]), _lists(head), _lists(prefix), pa.ListArray.from_arrays(grams.offsets, pairs)],
+                    names=["id", "text_hash", "n", "sid", *_MAPS, "large", "head", "prefix", "hot"],
                 )
 
-    return rows.mapInArrow(run, "id long, n long, sid long, m0 long, m1 long, m2 long, m3 long, large array<long>, head array<long>, prefix array<long>, hot array<struct<gram:long,s:int>>")
+    return rows.mapInArrow(run, "id long, text_hash long, n long, sid long, m0 long, m1 long, m2 long, m3 long, large array<long>, head array<long>, prefix array<long>, hot array<struct<gram:long,s:int>>")
 
 
 def _wanted(keys: DataFrame) -> np.ndarray:
@@ -251,10 +251,14 @@ def _hot(told: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; two documents link when their Jaccard similarity is ``percent`` / 100 or more."""
+    """(id, n_shingles, component_id, text_hash, component) of every row; two documents link when their Jaccard similarity is ``percent`` / 100 or more.
+
+    component_id is the smallest id of the component. component names it even where ids repeat (null without
+    n-grams), and text_hash tells rows of one id apart.
+    """
     spark = docs.sparkSession
-    name = lambda c: F.col(f"`{c}`")
-    rows = docs.select(name(id_col).cast("long").alias("id"), F.xxhash64(name(id_col).cast("long")).alias("key"), name(text_col).cast("string").alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("id"), F.xxhash64(named(id_col).cast("long")).alias("key"), named(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     order = Order(_counts(rows, k), piece)
     some_hot = bool((order.pieces > 1).any())
     told, told_at = stored(_described(rows, k, percent, order))
@@ -315,11 +319,11 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     upper = joined.select(F.col("node").alias("component"), F.col("component").alias("upper"))
     final = found.unionByName(joined.select("node", F.col("node").alias("component"))).distinct().join(upper, "component", "left")
     final = final.select(F.col("node").alias("sid"), F.coalesce("upper", "component").alias("component")).groupBy("sid").agg(F.min("component").alias("component"))
-    named = members.select("sid", "rep").join(final, "sid", "left").withColumn("component", component)
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest.hint("shuffle_hash"), "component").select("sid", "component_id")
-    # Three numbers a document: fewer, larger files than the shuffle has partitions.
-    out = told.select("id", "n", "sid").join(named.hint("shuffle_hash"), "sid", "left")
-    out = cut(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")), small=True)
+    classes = members.select("sid", "rep").join(final, "sid", "left").withColumn("component", component)
+    smallest = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = classes.join(smallest.hint("shuffle_hash"), "component").select("sid", "component_id", "component")
+    # A few numbers a document: fewer, larger files than the shuffle has partitions.
+    out = told.select("id", "text_hash", "n", "sid").join(classes.hint("shuffle_hash"), "sid", "left")
+    out = cut(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "text_hash", "component"), small=True)
     remove(spark, told_at)
     return out

@@ -38,11 +38,17 @@ LINE_TEMPLATES = """WITH split_ AS (SELECT doc_id, text, string_split(text, chr(
   toks AS (SELECT *, list_transform(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m FROM lines),
   parsed AS (SELECT *, len(m) AS n, m[1:3] AS head, array_to_string(m, ' ') AS form FROM toks WHERE len(m) > 0),
   forms AS (SELECT n, head, form, any_value(m) AS m, count(DISTINCT text) AS docs, min(doc_id) AS first_, arg_min(text, doc_id) AS owner, CAST('0x' || substring(md5(form), 1, 15) AS BIGINT) AS digest FROM parsed GROUP BY n, head, form),
-  best AS (SELECT n, head, arg_max(form, (docs, digest)) AS bform, arg_max(m, (docs, digest)) AS bm FROM forms GROUP BY n, head),
-  placed AS (SELECT f.*, CASE WHEN f.n >= 8 AND list_sum(list_transform(range(8), lambda i: CAST(f.m[f.n * i // 8 + 1 : f.n * (i + 1) // 8] = bm[f.n * i // 8 + 1 : f.n * (i + 1) // 8] AS INT))) >= 6 THEN bform ELSE form END AS template
-    FROM forms f JOIN best USING (n, head)),
+  -- By rank, each form joins the first representative of its leaf that has three quarters of its tokens, or becomes one.
+  folded AS (SELECT n, head, list_reduce(list_prepend({'known': list_slice([{'form': '', 'm': ['']}], 2, 1), 'out': list_slice([{'form': '', 'template': ''}], 2, 1)},
+      list({'known': [{'form': form, 'm': m}], 'out': list_slice([{'form': '', 'template': ''}], 2, 1)} ORDER BY docs DESC, digest DESC)),
+      lambda acc, x: {'known': CASE WHEN len(list_filter(acc.known, lambda y: 100 * list_sum(list_transform(range(1, len(y.m) + 1), lambda i: CAST(y.m[i] = x.known[1].m[i] AS INT))) >= 75 * len(y.m))) = 0
+          THEN list_concat(acc.known, x.known) ELSE acc.known END,
+        'out': list_append(acc.out, {'form': x.known[1].form, 'template': COALESCE(list_filter(acc.known, lambda y: 100 * list_sum(list_transform(range(1, len(y.m) + 1), lambda i: CAST(y.m[i] = x.known[1].m[i] AS INT))) >= 75 * len(y.m))[1].form, x.known[1].form)})}) AS f
+    FROM forms WHERE n >= 5 GROUP BY n, head),
+  template_ AS (SELECT n, head, o.form, o.template FROM (SELECT n, head, unnest(f.out) AS o FROM folded)),
+  placed AS (SELECT f.*, COALESCE(t.template, f.form) AS template FROM forms f LEFT JOIN template_ t USING (n, head, form)),
   total AS (SELECT n, head, template, sum(docs) AS total, arg_min(owner, first_) AS keeper FROM placed GROUP BY n, head, template),
-  known AS (SELECT p.n, p.head, p.form, keeper FROM placed p JOIN total USING (n, head, template) WHERE total >= CASE WHEN p.n < 8 THEN 10 ELSE 3 END),
+  known AS (SELECT p.n, p.head, p.form, keeper FROM placed p JOIN total USING (n, head, template) WHERE total >= CASE WHEN p.n < 8 THEN 10 WHEN p.n >= 50 THEN 2 ELSE 3 END),
   gone AS (SELECT doc_id, pos FROM parsed JOIN known USING (n, head, form) WHERE text <> keeper),
   kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM lines l WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = l.doc_id AND g.pos = l.pos) GROUP BY doc_id),
   number_ AS (SELECT doc_id, count(*) AS n_dropped FROM gone GROUP BY doc_id)

@@ -23,6 +23,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loregrid.llm.io import named
+
 KINDS = ["email", "ip", "card", "phone"]
 #: A look-behind and \G keep the search linear in long runs: a match starts where a run does, or where the last match ended.
 BASE = {
@@ -47,22 +49,42 @@ CUES = {
 AGAINST = r"version|isbn|issn|order|invoice|serial|\bref|\bno\.|\bid\b"
 ROUNDS, ACCEPT, PRIOR = 25, 0.9, 0.5
 WINDOW = 40
+#: Matches folded in one run.
+RUN = 128
+#: Code points in a piece of a text.
+CHUNK = 1024
 
 
 def _spans(text: Column, pattern: str, guard: Column) -> Column:
-    """array<struct<s:int,e:int,m:string>> of the pattern's matches, in code points."""
+    """array<struct<s:int,e:int,m:string>> of the pattern's matches, in code points.
+
+    Linear in a text's matches but for their square over RUN: runs of at most RUN are folded, then the runs' ends.
+    What a lambda uses often is a variable of an outer one, since an expression would be evaluated for every element.
+    """
     kind = "array<struct<s:int,e:int,m:string>>"
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.transform(matches, lambda m, i: F.struct(m.alias("m"), F.length(F.get(gaps, i)).alias("gap")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    none = F.array().cast(kind)
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
+        begin = acc["at"] + F.length(x["gap"])
         end = begin + F.length(x["m"])
         one = F.struct(begin.alias("s"), end.alias("e"), x["m"].alias("m"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.when(guard, F.aggregate(pairs, empty, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    def run(pairs: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(pairs, i * RUN + 1, F.lit(RUN)), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def shifted(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda s: F.struct((s["s"] + acc["at"]).alias("s"), (s["e"] + acc["at"]).alias("e"), s["m"].alias("m")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def whole(pairs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / RUN).cast("int")), lambda i: run(pairs, i))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.when(F.size(pairs) > 0, F.flatten(F.aggregate(runs, start, shifted, lambda acc: acc["out"]))).otherwise(none)
+
+    # The text behind the last match has no match.
+    pairs = F.filter(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap")), lambda x: x["m"].isNotNull())
+    return F.when(guard, F.get(F.transform(F.array(pairs), whole), F.lit(0))).otherwise(none)
 
 
 def _luhn(digits: Column) -> Column:
@@ -86,10 +108,22 @@ def _valid(kind: str, m: Column) -> Column:
     return F.length(_digits(m)).between(9, 15)
 
 
-def _candidates(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with base (valid base spans: s, k, e) and cands (all matches: s, e, m, kind number, loose, valid)."""
+def _chunks(text: Column) -> Column:
+    """The text in pieces of CHUNK code points, since a place in a long text is found by counting from its start."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / CHUNK).cast("int")), lambda i: F.substring(text, i * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _before(chunks: Column, s: Column) -> Column:
+    """The WINDOW code points before ``s``."""
+    begin = F.greatest(s - WINDOW, F.lit(0))
+    i = F.floor(begin / CHUNK).cast("int")
+    return F.substring(F.concat(F.get(chunks, i), F.coalesce(F.get(chunks, i + 1), F.lit(""))), begin - i * CHUNK + 1, s - begin)
+
+
+def _candidates(texts: DataFrame, keep: str | None = None) -> DataFrame:
+    """(keep, base, cands) of the column _text: valid base spans (s, k, e), and all matches (s, e, m, kind number, loose, valid, before)."""
     text = F.col("_text")
-    out = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    out = texts
     figures = text.rlike("[0-9]")
     guards = {"email": text.contains("@"), "ip": figures, "card": figures, "phone": text.contains("+") & figures}
     loose = {"email": F.lower(text).rlike(r"[\[(]at[\])]"), "phone": figures}
@@ -99,16 +133,19 @@ def _candidates(docs: DataFrame, text_col: str) -> DataFrame:
         out = out.withColumn(f"_loose_{k}", _spans(text, LOOSE[k], loose[k]))
 
     def told(k: str, column: str, is_loose: bool) -> Column:
-        return F.transform(
-            F.col(column),
-            lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(k)).alias("k"), x["e"].alias("e"), x["m"].alias("m"), F.lit(is_loose).alias("loose"), (F.lit(True) if is_loose else _valid(k, x["m"])).alias("valid")),
-        )
+        def one(x: Column, chunks: Column) -> Column:
+            valid = F.lit(True) if is_loose else _valid(k, x["m"])
+            return F.struct(x["s"].alias("s"), F.lit(KINDS.index(k)).alias("k"), x["e"].alias("e"), x["m"].alias("m"), F.lit(is_loose).alias("loose"), valid.alias("valid"), _before(chunks, x["s"]).alias("before"))
+
+        each = F.get(F.transform(F.array(_chunks(text)), lambda chunks: F.transform(F.col(column), lambda x: one(x, chunks))), F.lit(0))
+        kind = "array<struct<s:int,k:int,e:int,m:string,loose:boolean,valid:boolean,before:string>>"
+        return F.when(F.size(column) > 0, each).otherwise(F.array().cast(kind))
 
     out = out.withColumn("_found", F.concat(*(told(k, f"_{k}", False) for k in KINDS)))
     out = out.withColumn("base", F.array_sort(F.transform(F.filter("_found", lambda x: x["valid"]), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))))
     # A loose match that overlaps a base span is that span; a failed match stays, to learn from.
     extra = F.filter(F.concat(*(told(k, f"_loose_{k}", True) for k in LOOSE)), lambda x: ~F.exists(F.col("base"), lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
-    return out.withColumn("cands", F.concat("_found", extra)).drop(*(f"_{k}" for k in KINDS), *(f"_loose_{k}" for k in LOOSE), "_found")
+    return out.select(*([keep] if keep else []), "base", F.concat("_found", extra).alias("cands"))
 
 
 def _votes(k: Column, m: Column, loose: Column, valid: Column, before: Column) -> list[Column]:
@@ -161,13 +198,14 @@ def expectation_maximisation(counts: dict[tuple[int, tuple[int, ...]], int]) ->
     return post
 
 
+def _given(text_col: str) -> Column:
+    return F.coalesce(named(text_col).cast("string"), F.lit("")).alias("_text")
+
+
 def train(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     """The classifier: the probability of each shape, by posterior-weighted counts."""
-    rows = _candidates(docs.select(F.col(text_col).alias("_given")), "_given").filter(F.size("cands") > 0)
-    rows = rows.select("_text", F.explode("cands").alias("c"))
-    k, m = F.col("c.k"), F.col("c.m")
-    begin = F.greatest(F.col("c.s") - WINDOW, F.lit(0))
-    before = F.substring(F.col("_text"), begin + 1, F.col("c.s") - begin)
+    rows = _candidates(docs.select(_given(text_col))).filter(F.size("cands") > 0).select(F.explode("cands").alias("c"))
+    k, m, before = F.col("c.k"), F.col("c.m"), F.col("c.before")
     votes = _votes(k, m, F.col("c.loose"), F.col("c.valid"), F.lower(before))
     counted = rows.select(k.alias("k"), F.array(*votes).alias("v"), _shape(k, m, before).alias("shape")).groupBy("k", "v", "shape").agg(F.count(F.lit(1)).alias("n"))
     got = [(r["k"], tuple(r["v"]), r["shape"], r["n"]) for r in counted.collect()]  # votes by shapes: a fixed grid
@@ -192,18 +230,18 @@ def train(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
 
 
 def find(docs: DataFrame, model: dict[str, float], text_col: str = "text") -> DataFrame:
-    """``docs`` with base and spans: arrays of (s, k, e), sorted by start and then kind (a number in KINDS)."""
-    rows = _candidates(docs, text_col)
+    """``docs`` with base and spans (columns of these names are replaced): arrays of (s, k, e), sorted by start and then kind (a number in KINDS)."""
+    kept = [c for c in docs.columns if c not in ("base", "spans")]
+    rows = _candidates(docs.select(F.struct(*map(named, kept)).alias("_row"), _given(text_col)), "_row")
     good = sorted(s for s, p in model.items() if p >= ACCEPT)
-    text = F.col("_text")
 
     def taken(x: Column) -> Column:
-        begin = F.greatest(x["s"] - WINDOW, F.lit(0))
-        return x["loose"] & _shape(x["k"], x["m"], F.substring(text, begin + 1, x["s"] - begin)).isin(good)
+        return x["loose"] & _shape(x["k"], x["m"], x["before"]).isin(good)
 
     span = lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))
     more = F.transform(F.filter("cands", taken), span) if good else F.array().cast("array<struct<s:int,k:int,e:int>>")
-    return rows.withColumn("spans", F.array_sort(F.concat(F.col("base"), more))).drop("cands", "_text")
+    whole = F.array_sort(F.concat(F.col("base"), more)).alias("spans")
+    return rows.select(*(F.col("_row").getField(c).alias(c) for c in kept), "base", whole)
 
 
 def written(spans: Column) -> Column:
@@ -214,7 +252,7 @@ def written(spans: Column) -> Column:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts and digest of the base spans, and all spans."""
-    rows = find(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), train(docs, text_col))
+    rows = find(docs.select(named(id_col).alias("id"), named(text_col).alias("text")), train(docs, text_col))
 
     def number(i: int) -> Column:
         return F.size(F.filter("base", lambda x: x["k"] == i)).cast("long").alias(f"n_{KINDS[i]}")

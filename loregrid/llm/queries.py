@@ -25,7 +25,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return ngram_join.similar(table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,9 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField
 
 from loregrid.llm.arrays import plain, sliced, span_hashes
+from loregrid.llm.io import mapped
 
 CACHE = 400_000
 MARK = 0x2581
@@ -263,12 +264,12 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _apply(docs: DataFrame, model: str, added: list[StructField], make) -> DataFrame:
+def _apply(docs: DataFrame, model: str, column: str, added: list[StructField], make) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model))  # as large as the model, whatever the rows
     key = uuid.uuid4().hex
     names = [f.name for f in added]
     given = [f for f in docs.schema.fields if f.name not in names]
-    schema = StructType([*given, *added])
+    at = [f.name for f in given].index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
@@ -278,17 +279,18 @@ def _apply(docs: DataFrame, model: str, added: list[StructField], make) -> DataF
                     _ENCODERS.clear()
                     _ENCODERS[key] = Encoder(shared.value)
                 encoder = _ENCODERS[key]
-            for i, j, columns in make(encoder, b):
-                yield pa.RecordBatch.from_arrays([*(b.column(f.name).slice(i, j - i) for f in given), *columns], names=schema.names)
+            for i, j, columns in make(encoder, b.column(at)):
+                every = [*(b.column(c).slice(i, j - i) for c in range(len(given))), *columns]
+                yield pa.RecordBatch.from_arrays(every, names=[f"c{c}" for c in range(len(every))])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, given, added, run)
 
 
 def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """``docs`` with pieces (array of ids), n_pieces and round_trip: whether they decode to the text."""
 
-    def make(encoder: Encoder, b: pa.RecordBatch) -> Iterator[tuple]:
-        for i, j, data, offsets in sliced(plain(b.column(text_col))):
+    def make(encoder: Encoder, texts: pa.Array) -> Iterator[tuple]:
+        for i, j, data, offsets in sliced(plain(texts)):
             pieces, at = encoder.encode(data, offsets)
             back, to = encoder.decode(pieces, at)
             if np.array_equal(back, data) and np.array_equal(to, offsets):
@@ -297,18 +299,17 @@ def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
                 same = np.array([np.array_equal(back[to[r] : to[r + 1]], data[offsets[r] : offsets[r + 1]]) for r in range(j - i)])
             yield i, j, [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(pieces)), pa.array(np.diff(at)), pa.array(same)]
 
-    return _apply(docs, model, [StructField("pieces", ArrayType(IntegerType())), StructField("n_pieces", LongType()), StructField("round_trip", BooleanType())], make)
+    return _apply(docs, model, text_col, [StructField("pieces", ArrayType(IntegerType())), StructField("n_pieces", LongType()), StructField("round_trip", BooleanType())], make)
 
 
 def decode(encoded: DataFrame, model: str, pieces_col: str = "pieces") -> DataFrame:
     """``encoded`` with decoded: the text of its pieces; null pieces decode to the empty text."""
     from pyspark.sql.types import StringType
 
-    def make(encoder: Encoder, b: pa.RecordBatch) -> Iterator[tuple]:
-        lists = b.column(pieces_col)
+    def make(encoder: Encoder, lists: pa.ListArray) -> Iterator[tuple]:
         sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
         data, to = encoder.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum([0, *sizes]))
         raw = data.tobytes()
         yield 0, len(lists), [pa.array([raw[to[r] : to[r + 1]].decode("utf-8", "replace") for r in range(len(lists))], pa.string())]
 
-    return _apply(encoded, model, [StructField("decoded", StringType())], make)
+    return _apply(encoded, model, pieces_col, [StructField("decoded", StringType())], make)

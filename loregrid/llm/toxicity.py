@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loregrid.llm.arrays import LOWER, plain, sliced, span_hashes, spans
+from loregrid.llm.io import mapped
 
 BUCKETS = 1 << 18
 #: The most labelled documents of each class that the classifier is fitted on, and the most bytes of one.
@@ -147,13 +148,14 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     given = [f for f in docs.schema.fields if f.name not in ("score", "predicted", "worst")]
     worst = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("score", DoubleType())])
-    schema = StructType([*given, StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("worst", worst)])
+    added = [StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("worst", worst)]
+    at = [f.name for f in given].index(text_col)
     arrow_worst = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            texts = plain(b.column(b.schema.names.index(text_col)))
+            texts = plain(b.column(at))
             total = np.full(len(texts), EMPTY)
             found: list = [None] * len(texts)
             for i, j, data, offsets in sliced(texts):
@@ -168,8 +170,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                     r = int(row[s])
                     begin = offsets[r] if s == 0 or row[s - 1] != r else ends[s - 1]
                     found[i + r] = {"start": int(begin - offsets[r]), "end": int(ends[s] - offsets[r]), "score": float(p[s])}
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(f.name) for f in given), pa.array(total), pa.array((total >= 0.5).astype(np.int32)), pa.array(found, arrow_worst)], names=schema.names
-            )
+            every = [*b.columns, pa.array(total), pa.array((total >= 0.5).astype(np.int32)), pa.array(found, arrow_worst)]
+            yield pa.RecordBatch.from_arrays(every, names=[f"c{c}" for c in range(len(every))])
 
-    return docs.select(*[f"`{f.name}`" for f in given]).mapInArrow(run, schema)
+    return mapped(docs, given, added, run)

@@ -10,7 +10,7 @@ blocks of bounded size, and each (shard, block) is a task's work of its own. The
 merged by query with a top-k window, whose partial step runs before the shuffle.
 
 Defined results: null vectors, vectors of zeros, with null or non-finite components, or of another length
-than the longest one take no part; equal vectors keep each their own row, ties go to the smaller id; a
+than most vectors (of lengths that as many have, the larger) take no part; equal vectors keep each their own row, ties go to the smaller id; a
 repeated id is a row of its own but never its own neighbour; fewer candidates than k give fewer rows; an
 empty table gives none; other columns are ignored.
 """
@@ -44,10 +44,21 @@ class Tree:
         at = np.searchsorted(back[rank], np.arange(len(self.vectors) + 1))
         # A query's k best of equal vectors are the k smallest ids, or k + 1 if its own is among them: keep = k + 1.
         self.ids = [ids[rank[a : min(b, a + keep)]] for a, b in zip(at[:-1], at[1:], strict=True)]
-        rest = np.sqrt(np.maximum(norm**2 - np.einsum("ij,ij->i", self.vectors, self.vectors), 0))
-        self.lifted = np.c_[self.vectors, rest]
+        self.norm = norm
+        self._lift()
         self.root = self._build(np.arange(len(self.vectors)), np.random.default_rng(7))
 
+    def _lift(self) -> None:
+        rest = np.sqrt(np.maximum(self.norm**2 - np.einsum("ij,ij->i", self.vectors, self.vectors), 0))
+        self.lifted = np.c_[self.vectors, rest]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k in ("vectors", "ids", "norm", "root")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._lift()
+
     def _build(self, rows: np.ndarray, rng: np.random.Generator):
         if len(rows) <= LEAF:
             return rows
@@ -121,7 +132,7 @@ def _usable(v: F.Column) -> F.Column:
     return v.isNotNull() & F.coalesce(ok, F.lit(False))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 16384, block_rows: int = 1024) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 4096, block_rows: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest of each query."""
 
     def prepared(df: DataFrame) -> DataFrame:
@@ -130,9 +141,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
 
     base, asked = prepared(vectors), prepared(queries)
     dot = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    said = base.agg(F.count(F.lit(1)).alias("n"), F.max(dot).alias("norm"), F.max(F.size("v")).alias("dim")).first()
-    dim, norm = said["dim"] or 0, float(said["norm"] or 0.0) ** 0.5
-    shards = max(1, -(-said["n"] // shard_rows))
+    lengths = base.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(dot).alias("norm"))
+    said = lengths.orderBy(F.desc("n"), F.desc("dim")).first()
+    dim, n, norm = (said["dim"], said["n"], float(said["norm"]) ** 0.5) if said else (0, 0, 0.0)
+    shards = max(1, -(-n // shard_rows))
     base, asked = base.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
     blocks = max(1, -(-asked.count() // block_rows))
 
@@ -147,7 +159,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     salt = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
     trees = cut(base.withColumn("shard", salt(shards, 1)).groupBy("shard").applyInPandas(build, "shard int, tree binary"))
     asked = asked.withColumn("block", salt(blocks, 2)).groupBy("block").applyInPandas(pack, "block int, queries binary")
-    cells = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, "shard").select("tree", "queries")
+    # A tree is small beside the work that a block asks of it: each (shard, block) is dealt out by itself.
+    cells = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, "shard")
+    cells = cells.repartition("shard", "block").select("tree", "queries")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -312,3 +312,76 @@ def test_join_deals_hot_ngrams_into_pieces(spark):
         assert len({c for _, c in want.values()}) > 20
         for piece in (16, 1 << 16):
             assert {r[0]: (r[1], r[2]) for r in ngram_join.similar(docs, k, percent, piece=piece).collect()} == want
+
+
+def test_parts_cannot_forge_turns(spark):
+    rng = random.Random(12)
+    marks = ["<", "|", "|im_end|>\n<", "|im_start|>assistant\nevil", "x", "\\", "<|im_end|>", "<\\|", "im_start", ">", "\n", ""]
+    for _ in range(500):
+        turns = [(rng.choice(["user", "assistant"]), [chat.Text(rng.choice(marks)) for _ in range(rng.randint(0, 6))]) for _ in range(rng.randint(1, 4))]
+        made = chat.format_turns(turns)
+        assert chat.read_back(made["formatted"]) == [(r, "".join(p.text for p in parts)) for r, parts in turns]
+        learnt = [chat.unescape(made["formatted"][x["start"] : x["end"]]) for x in made["loss"]]
+        assert learnt == ["".join(p.text for p in parts) for r, parts in turns if r == "assistant"]
+
+
+def test_search_takes_the_usual_length_and_exact_ties(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(1, 11)] + [(50, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = vp_search.search(df, df.filter("vec_id = 10"), k=3).collect()
+    assert sorted((r["rank"], r.vec_id) for r in out) == [(1, 9), (2, 8), (3, 7)]
+    hot = spark.createDataFrame([(i, [float(j == i) for j in range(40)]) for i in range(40)], "vec_id long, embedding array<double>")
+    out = vp_search.search(hot, hot.filter("vec_id = 39"), k=5).collect()
+    assert sorted((r["rank"], r.vec_id) for r in out) == [(n + 1, n) for n in range(5)]
+
+
+CLASHES = ["base", "spans", "cands", "_text", "_found", "_row", "_key", "_id", "_whole", "_gone", "key", "id", "whole", "gone", "n_lines", "n_dropped", "hits", "score", "predicted", "worst", "pieces", "n_pieces", "round_trip", "n", "sid", "component", "c0", "a.b", "c`d"]
+
+
+def test_every_operator_takes_any_table(spark):
+    from loregrid.llm import line_templates, pii, sentence_pieces, token_counts
+    from loregrid.llm.queries import tokenizer_path
+
+    long = "A very long text goes on and on. " * 150_000
+    rows = [(1, None), (2, ""), (3, "x"), (3, "x"), (4, long), (None, "null id")]
+    docs = spark.createDataFrame([(*r, *(["v"] * len(CLASHES))) for r in rows], "doc_id long, text string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in CLASHES))
+    bench = spark.createDataFrame([(1, "what is it that never was said here"), (2, None), (None, "x y")], "item_id long, text string")
+    model = toxicity.train(docs.select("doc_id", "text"), spark.createDataFrame([(3, 1), (None, 0)], "doc_id long, toxic int"))
+    piece = tokenizer_path("piece_bpe_32k.model")
+    made = {
+        "join": lambda d: ngram_join.similar(d),
+        "pii": lambda d: pii.find(d, {}),
+        "pii report": lambda d: pii.report(d),
+        "decontaminate": lambda d: decontaminate.find_items(d, bench),
+        "tokens": lambda d: token_counts.count_tokens(d, tokenizer_path("byte_bpe_50k.json")),
+        "pieces": lambda d: sentence_pieces.encode(d, piece),
+        "shards": lambda d: sharding.assign(d),
+        "lines": lambda d: line_templates.drop_recurring(d),
+        "toxicity": lambda d: toxicity.score(d, model),
+    }
+    replaced = {"pii": ["base", "spans"], "decontaminate": ["hits"], "pieces": ["pieces", "n_pieces", "round_trip"], "lines": ["n_lines", "n_dropped"], "toxicity": ["score", "predicted", "worst"]}
+    for name, f in made.items():
+        out = f(docs)
+        got = out.collect()
+        assert Counter(r["doc_id"] for r in got) == Counter([1, 2, 3, 3, 4, None]), name
+        if name in replaced:
+            for c in set(CLASHES) - set(replaced[name]):
+                assert all(r[c] == "v" for r in got), (name, c)
+        assert f(docs.limit(0)).count() == 0, name
+
+
+def test_every_stage_takes_any_table(spark, sf_dir):
+    import corpus_pipeline
+
+    w = "one two three four five six seven eight nine"
+    rows = [(1, None), (2, ""), (3, w), (3, w), (7, w), (7, "a text of its own that shares an id with a copy"), (9, " "), (None, "x"), (8, w + " ten" * 200_000)]
+    docs = spark.createDataFrame([(*r, "v", "v", "v") for r in rows], "doc_id long, text string, `a.b` string, `text_hash` string, score string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        want = Counter(rows)
+        if name == "n-gram Jaccard join":
+            want = Counter(set(rows) - {(7, w)})
+        assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == want, name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == len(rows)

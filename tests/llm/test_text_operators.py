@@ -150,14 +150,17 @@ def deduplicated(rows):
     for leaf, forms in leaves.items():
         n = leaf[0]
         docs = {f: len({t for _, t in where}) for f, where in forms.items()}
-        best = max(forms, key=lambda f: (docs[f], digest(f)))
-        runs = lambda f, n=n: [f.split(" ")[n * i // 8 : n * (i + 1) // 8] for i in range(8)]
-        template = {f: best if n >= 8 and sum(a == b for a, b in zip(runs(f), runs(best), strict=True)) >= 6 else f for f in forms}
+        known, template = [], {}
+        for f in sorted(forms, key=lambda f: (docs[f], digest(f)), reverse=True):
+            same = lambda g, f=f: sum(a == b for a, b in zip(g.split(" "), f.split(" "), strict=True)) * 4 >= 3 * len(f.split(" "))
+            template[f] = next((g for g in known if same(g)), f) if n >= 5 else f
+            if template[f] == f:
+                known.append(f)
         total = Counter()
         for f in forms:
             total[template[f]] += docs[f]
         for f in forms:
-            if total[template[f]] >= (3 if n >= 8 else 10):
+            if total[template[f]] >= (10 if n < 8 else 2 if n >= 50 else 3):
                 owner[leaf, f] = min(min(forms[g]) for g in forms if template[g] == template[f])[1]
     key = lambda line: ((len(masked(line)), tuple(masked(line)[:3])), " ".join(masked(line)))
     return {d: None if t is None else "\n".join(x for x in t.split("\n") if owner.get(key(x), t) == t) for d, t in rows}
@@ -180,7 +183,7 @@ def test_copies_alone_make_no_template_and_repeats_stay(spark):
 
 def kept_lines(spark, texts, **how):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {r.doc_id: r.text for r in line_templates.drop_recurring(docs, several=True, **how).collect()}
+    return {r.doc_id: r.text for r in line_templates.drop_recurring(docs, **how).collect()}
 
 
 def test_a_leaf_has_several_templates_by_token(spark):
@@ -212,7 +215,41 @@ def test_folds_equal_the_plain_first_fit(spark):
             groups.append([t])
     assert len(groups) > 10
     owner = {t: min(g, key=where.get) if len(g) >= 3 else t for g in groups for t in g}
-    assert kept_lines(spark, texts) == {i: t if owner[t] == t else "" for i, t in enumerate(texts)}
+    for block in (256, 7):  # one block of forms, and several rounds
+        assert kept_lines(spark, texts, block=block) == {i: t if owner[t] == t else "" for i, t in enumerate(texts)}
+
+
+def test_variable_fields_of_two_templates_and_of_short_lines(spark):
+    word = lambda i: "".join(chr(97 + (i // 26**j) % 26) for j in range(3))
+    first = [f"user alpha logs {word(i)} in from the usual place at noon again" for i in range(6)]
+    second = [f"user alpha logs out {word(i)} and leaves no note for his friends" for i in range(5)]
+    short = [f"user alpha said {word(i)} yesterday" for i in range(17)]
+    texts = [*first, *second, *short]
+    got = kept_lines(spark, texts)
+    assert [i for i, t in got.items() if t] == [0, 6, 11]
+
+
+def test_many_recurring_lines_in_a_text_take_linear_time(spark):
+    import time
+
+    lines = [f"row {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} of a long list" for i in range(8000)]
+    lines = [f"{x} {y}" for x, y in zip(lines, lines[1:] + lines[:1], strict=True)]
+    docs = spark.createDataFrame([(i, "\n".join([*lines, f"own {i}"])) for i in range(4)], "doc_id long, text string")
+    line_templates.drop_recurring(docs).count()
+    begin = time.time()
+    out = {r.doc_id: r for r in line_templates.drop_recurring(docs).collect()}
+    took = time.time() - begin
+    assert [out[i].n_dropped for i in range(4)] == [0, 8000, 8000, 8000] and out[3].text == "own 3" and took < 30
+
+
+def test_many_spans_in_a_text_take_linear_time(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "10.0.0.1 " * 16000)], "doc_id long, text string")
+    pii.report(docs.limit(1).withColumn("text", pii.F.lit("10.0.0.1"))).collect()
+    begin = time.time()
+    r = pii.report(docs).first()
+    assert (r.n_ip, r.spans.count(",")) == (16000, 15999) and r.spans.endswith("ip:143991:143999") and time.time() - begin < 20
 
 
 def test_long_lines_recur_from_two_texts(spark):
