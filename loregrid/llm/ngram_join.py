@@ -251,11 +251,16 @@ def _hot(told: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
-    """(id, n_shingles, component_id, text_hash, component) of every row; two documents link when their Jaccard similarity is ``percent`` / 100 or more.
+    """(id, n_shingles, component_id) of every row; two documents link when their Jaccard similarity is ``percent`` / 100 or more.
 
-    component_id is the smallest id of the component. component names it even where ids repeat (null without
-    n-grams), and text_hash tells rows of one id apart.
+    component_id is the smallest id of the component.
     """
+    return grouped(docs, k, percent, id_col, text_col, piece).select(named(id_col), "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
+    """The rows of ``similar`` with text_hash, which tells rows of one id apart, and component, which names the component
+    even where ids repeat (null without n-grams)."""
     spark = docs.sparkSession
     rows = docs.select(named(id_col).cast("long").alias("id"), F.xxhash64(named(id_col).cast("long")).alias("key"), named(text_col).cast("string").alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
