@@ -31,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Texts that share an id are judged apart; repeated rows of one id and text stay once. Texts without words,
     null and empty ones are no copies; null ids come first. An empty table stays empty.
     """
-    groups = ngram_join.similar(docs, k=5, percent=80).select("doc_id", "text_hash", "component")
+    groups = ngram_join.grouped(docs, k=5, percent=80).select("doc_id", "text_hash", "component")
     first = groups.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     copies = groups.join(first, "component").filter(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("first")))
     copy, text_hash = free(docs, "copy", "text_hash")
