@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loregrid.llm import chat, decontaminate, line_templates, ngram_join, pii, sentence_pieces, sharding, token_counts, toxicity, vp_search
+from loregrid.llm import byte_bpe, chat, decontaminate, line_templates, ngram_join, pii, sentence_pieces, sharding, token_counts, toxicity, vp_search
 from loregrid.llm.io import table
 from loregrid.llm.oracles import ORACLES
 
@@ -75,8 +75,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded by the ranks, then decoded again."""
+    import public_tokenizers
+
+    vocabulary = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return byte_bpe.digests(encoded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_ngram_join, op2_pii, op3_decontaminate, op4_token_counts, op5_vp_search, op6_sentence_pieces, op7_chat_format, op8_sharding, op9_line_templates, op10_toxicity)
+    every = (op1_ngram_join, op2_pii, op3_decontaminate, op4_token_counts, op5_vp_search, op6_sentence_pieces, op7_chat_format, op8_sharding, op9_line_templates, op10_toxicity, op13_byte_bpe)
     return {f.__name__: f for f in every}
 
 
