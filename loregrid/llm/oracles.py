@@ -54,4 +54,19 @@ LINE_TEMPLATES = """WITH split_ AS (SELECT doc_id, text, string_split(text, chr(
   number_ AS (SELECT doc_id, count(*) AS n_dropped FROM gone GROUP BY doc_id)
   SELECT s.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, COALESCE(n_dropped, 0) AS n_dropped, COALESCE(kept.text, '') AS text FROM split_ s LEFT JOIN kept USING (doc_id) LEFT JOIN number_ USING (doc_id)"""
 
-ORACLES = {"op1_ngram_join": NGRAM_JOIN, "op3_decontaminate": DECONTAMINATE, "op7_chat_format": CHAT_FORMAT, "op9_line_templates": LINE_TEMPLATES}
+SOURCE_AUDIT = f"""WITH d AS (SELECT row_number() OVER () AS r, COALESCE(text, '') AS text, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source FROM documents),
+  w AS (SELECT r, lang, source, unnest(regexp_extract_all({_LOWER.format(x='text')}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+  kept AS (SELECT lang, term, count(*) AS whole FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+  langs AS (SELECT lang, count(*) AS v, sum(whole) + count(*) AS all_n FROM kept GROUP BY lang),
+  counts AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+  groups AS (SELECT lang, source, COALESCE(sum(n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN counts USING (lang, source) GROUP BY lang, source),
+  p AS (SELECT g.lang, g.source, k.term, COALESCE(c.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (COALESCE(c.n, 0) + 1)) // (g.n + v) AS BIGINT) AS p,
+      CAST(1 + (1000000000::HUGEINT * (whole + 1)) // all_n AS BIGINT) AS q
+    FROM groups g JOIN kept k USING (lang) JOIN langs USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+  sums AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+  pairs AS (SELECT a.lang, a.source, b.source AS item, COALESCE(value, 0) AS value FROM groups a JOIN groups b USING (lang) LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source WHERE a.source <> b.source),
+  terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q)
+  SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM terms QUALIFY rank <= 200"""
+
+ORACLES = {"op1_ngram_join": NGRAM_JOIN, "op3_decontaminate": DECONTAMINATE, "op7_chat_format": CHAT_FORMAT, "op9_line_templates": LINE_TEMPLATES, "op12_source_audit": SOURCE_AUDIT}
