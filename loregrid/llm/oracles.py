@@ -69,4 +69,20 @@ SOURCE_AUDIT = f"""WITH d AS (SELECT row_number() OVER () AS r, COALESCE(text, '
   SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM pairs
   UNION ALL SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM terms QUALIFY rank <= 200"""
 
-ORACLES = {"op1_ngram_join": NGRAM_JOIN, "op3_decontaminate": DECONTAMINATE, "op7_chat_format": CHAT_FORMAT, "op9_line_templates": LINE_TEMPLATES, "op12_source_audit": SOURCE_AUDIT}
+COLLOCATIONS = f"""WITH d AS (SELECT COALESCE(lang, 'und') AS lang, {_LOWER.format(x="COALESCE(text, '')")} AS text FROM documents),
+  pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+  total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+  at AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) > 0),
+  grams AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM at, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(ws)),
+  f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+  cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+  within AS (SELECT lang, k, a, array_to_string(ws[i:j], ' ') AS phrase FROM (SELECT *, unnest(range(i + 1, k + 1)) AS j FROM (SELECT *, unnest(range(1, k)) AS i FROM cand)) WHERE j - i + 1 < k),
+  gone AS (SELECT DISTINCT c.lang, c.phrase FROM cand c JOIN within USING (lang, phrase) WHERE 100 * within.a >= 100 * c.a),
+  cuts AS (SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, n, (1000::HUGEINT * c.a * n) // (l.f::HUGEINT * r.f) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand) c JOIN total USING (lang)
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[cut + 1:c.k], ' ')),
+  best AS (SELECT * FROM cuts ANTI JOIN gone USING (lang, phrase) QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+  SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM best QUALIFY rank <= 2000"""
+
+ORACLES = {"op1_ngram_join": NGRAM_JOIN, "op3_decontaminate": DECONTAMINATE, "op7_chat_format": CHAT_FORMAT, "op9_line_templates": LINE_TEMPLATES, "op11_collocations": COLLOCATIONS, "op12_source_audit": SOURCE_AUDIT}

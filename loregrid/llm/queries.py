@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loregrid.llm import byte_bpe, chat, decontaminate, line_templates, ngram_join, pii, sentence_pieces, sharding, source_audit, token_counts, toxicity, vp_search
+from loregrid.llm import byte_bpe, chat, collocations, decontaminate, line_templates, ngram_join, pii, sentence_pieces, sharding, source_audit, token_counts, toxicity, vp_search
 from loregrid.llm.io import table
 from loregrid.llm.oracles import ORACLES
 
@@ -75,6 +75,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.report(table(spark, sf_dir, "documents"))
 
@@ -89,7 +93,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_ngram_join, op2_pii, op3_decontaminate, op4_token_counts, op5_vp_search, op6_sentence_pieces, op7_chat_format, op8_sharding, op9_line_templates, op10_toxicity, op12_source_audit, op13_byte_bpe)
+    every = (op1_ngram_join, op2_pii, op3_decontaminate, op4_token_counts, op5_vp_search, op6_sentence_pieces, op7_chat_format, op8_sharding, op9_line_templates, op10_toxicity, op11_collocations, op12_source_audit, op13_byte_bpe)
     return {f.__name__: f for f in every}
 
 
