@@ -73,8 +73,8 @@ COLLOCATIONS = f"""WITH d AS (SELECT COALESCE(lang, 'und') AS lang, {_LOWER.form
   pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
   w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
   total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
-  at AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) > 0),
-  grams AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM at, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(ws)),
+  starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) > 0),
+  grams AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM starts, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(ws)),
   f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
   cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
   within AS (SELECT lang, k, a, array_to_string(ws[i:j], ' ') AS phrase FROM (SELECT *, unnest(range(i + 1, k + 1)) AS j FROM (SELECT *, unnest(range(1, k)) AS i FROM cand)) WHERE j - i + 1 < k),
