@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loregrid.functions.text import terms
+from loregrid.segments import Segments
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -63,6 +64,30 @@ def lexical_indexed(index: DataFrame, query_terms: list[str], n: int, mean: floa
     return scored.groupBy("id").agg(F.sum("part").alias("score"))
 
 
+def lexical_stored(index: Segments, query_terms: list[str], n: int, length: int) -> DataFrame:
+    """(id, score) as ``lexical`` gives them, from the parts of a stored index that hold the query's terms; ``n`` documents have ``length`` terms."""
+    own = index.read(term_parts(index.store.spark, query_terms, index.parts())).filter(F.col("term").isin(query_terms))
+    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = own.join(F.broadcast(df), "term").select("id", "term", _score(F.col("tf").cast("double"), F.col("length"), F.lit(length / max(n, 1)), idf).alias("part"))  # a row a term of the query
+    sums = part.groupBy("id").agg(*(F.sum(F.when(F.col("term") == t, F.col("part"))).alias(f"p{i}") for i, t in enumerate(query_terms)))
+    total = F.lit(0.0)
+    for i in range(len(query_terms)):  # in the query's order, so that the same score comes out whatever the order of the rows
+        total = total + F.coalesce(F.col(f"p{i}"), F.lit(0.0))
+    return sums.select("id", total.alias("score"))
+
+
+def term_part(term: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts))
+
+
+def term_parts(spark: SparkSession, query_terms: list[str], parts: int) -> list[int]:
+    """The parts of an index that hold these terms."""
+    if not query_terms:
+        return []
+    return sorted(set(spark.range(1).select(*(term_part(F.lit(t), parts) for t in query_terms)).first()))
+
+
 def similarity(v: Column, query: list[float]) -> Column:
     """Cosine similarity mapped to 0 to 1; 0 for a vector of another length or of zeros."""
     q = F.array(*(F.lit(float(x)) for x in query))

@@ -21,7 +21,7 @@ def docs(spark, *rows):
 def engine(spark, tmp_path):
     word = lambda text: [1.0, 0.0] if "go" in text.lower() else [0.0, 1.0]
     made = lambda chunks: chunks.withColumn("embedding", F.when(F.lower("content").contains("go"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
-    e = Engine(spark, str(tmp_path / "ws"), embed=word, embed_chunks=made, model="keyword")
+    e = Engine(spark, str(tmp_path / "ws"), embed=word, embed_chunks=made, model="keyword", buckets=2, parts=4)
     e.index(docs(spark, ("doc1", "Go notes", "go programming concurrency", "project,go"), ("doc2", "Rust notes", "rust language ownership", "project,rust")))
     return e
 
