@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregrid.llm.arrays import plain
-from loregrid.llm.io import cut, named
+from loregrid.llm.io import cut, named, remove, stored
 
 SCALE = 1_000_000_000
 MIN_DOCS, TOP = 3, 200
@@ -146,10 +146,10 @@ def _pieces(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", terms: int = TERMS, block: int = BLOCK, dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
     """(pairs, terms): (lang, source, other, value) of all pairs of groups of a language, and the ``top`` terms by which a group exceeds its language."""
     counts = _counted(docs, lang_col, source_col, text_col).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counts = cut(counts)
+    counts, all_counts = stored(counts)
     word = counts.filter("term is not null")
     kept = word.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("whole"), F.count(F.lit(1)).alias("groups")).filter(F.col("docs") >= min_docs).drop("docs")
-    held = cut(word.select("lang", "source", "term", "n").join(kept.hint("shuffle_hash"), ["lang", "term"]))
+    held, _ = stored(word.select("lang", "source", "term", "n").join(kept.hint("shuffle_hash"), ["lang", "term"]))
     # A group's place in its language, in blocks; V, and N of the group and the language: a row a group.
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("whole").alias("lang_n"))
     of_group = held.groupBy("lang", "source").agg(F.sum("n").alias("n"))
@@ -157,6 +157,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, lang_col: s
     groups = groups.withColumn("place", (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("int")).withColumn("n_groups", F.count(F.lit(1)).over(Window.partitionBy("lang")))
     groups = groups.withColumn("p0", F.when(F.col("v") > 0, _share(F.lit(0), F.greatest(F.col("n") + F.col("v"), F.lit(1)))))
     groups = cut(groups)
+    remove(docs.sparkSession, all_counts)
 
     facts = groups.select("lang", "source", "place", "n_groups", (F.col("n") + F.col("v")).alias("own_n"), (F.col("lang_n") + F.col("v")).alias("all_n"), "v")
     posts = held.join(facts.hint("shuffle_hash"), ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("own_n")))
