@@ -28,6 +28,32 @@ def terms(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(TERM), F.lit(0))
 
 
+#: Runs of a text: words and what stands between them, in turn.
+RUNS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+
+
+def highlight(x: Column, wanted: Sequence[str], before: int = 10, runs: int = 40) -> Column:
+    """The fragment of ``runs`` words and gaps, from ``before`` of them ahead of a wanted term, that has most of them (the first of equals), each in <mark>; null without any.
+
+    An ellipsis stands where the text goes on. Linear in the text: only the runs behind each term are looked through.
+    """
+
+    def best(parts: Column) -> Column:
+        hit = lambda w: F.lower(w).isin(*wanted)
+        begins = F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: hit(F.get(parts, i))), lambda i: F.greatest(i - before, F.lit(0)))
+        scored = F.transform(begins, lambda i: F.struct(F.size(F.filter(F.slice(parts, i + 1, runs), hit)).alias("n"), (-i).alias("at")))
+        return F.when(F.size(begins) > 0, F.concat(_marked(parts, -F.array_max(scored)["at"], hit, runs)))
+
+    # The runs are a variable: as an expression they would be made for each use.
+    text = F.coalesce(x, F.lit(""))
+    return F.get(F.transform(F.array(F.regexp_extract_all(F.when(text == "", " ").otherwise(text), F.lit(RUNS), F.lit(0))), best), F.lit(0))
+
+
+def _marked(parts: Column, at: Column, hit, runs: int) -> Column:
+    shown = F.transform(F.slice(parts, at + 1, runs), lambda w: F.when(hit(w), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
+    return F.concat(F.when(at > 0, "…").otherwise(""), F.array_join(shown, ""), F.when(at + runs < F.size(parts), "…").otherwise(""))
+
+
 def keywords(x: Column) -> Column:
     """The set of telling words: lower-cased ASCII runs of three characters or more, without stopwords."""
     words = F.split(F.lower(x), "[^a-z0-9]+")

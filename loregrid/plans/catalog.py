@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from loregrid.functions import text as T
 from loregrid.functions import urls as U
 from loregrid.operators import answers, browser, collections, ingest, related, search
+from loregrid.plans import query_string as query_strings
 from loregrid.plans.adapter import CHUNKS, DOCS, MEMBERS, chunks, documents, members, moment, read, shown, shown_sql
+from loregrid.segments import Segments
+from loregrid.store import Store, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -304,17 +308,17 @@ def last_turns(spark, d):
 
 def _states(spark, d):
     s = F.when(F.col("doc_id") % 3 == 0, "pinned").when(F.col("doc_id") % 3 == 1, "included").otherwise("excluded")
-    return documents(spark, d).filter("doc_id % 10 = 0").select("id", s.alias("state"), F.col("doc_id").alias("position"), "indexed_at", "title")
+    return documents(spark, d).select("id", s.alias("state"), F.col("doc_id").alias("position"), "indexed_at", "title", F.col("source").alias("session"))
 
 
-_STATES = "states AS (SELECT id, CASE doc_id % 3 WHEN 0 THEN 'pinned' WHEN 1 THEN 'included' ELSE 'excluded' END AS state, doc_id AS position, indexed_at, title FROM docs WHERE doc_id % 10 = 0)"
+_STATES = "states AS (SELECT id, CASE doc_id % 3 WHEN 0 THEN 'pinned' WHEN 1 THEN 'included' ELSE 'excluded' END AS state, doc_id AS position, indexed_at, title, source AS session FROM docs)"
 
 
-@query(f"WITH {DOCS}, {_STATES} SELECT id, state, row_number() OVER (ORDER BY CASE state WHEN 'pinned' THEN 0 WHEN 'included' THEN 1 ELSE 2 END, indexed_at, lower(title), id) AS place FROM states ORDER BY place LIMIT 60")
+@query(f"WITH {DOCS}, {_STATES} SELECT session, id, state, row_number() OVER (PARTITION BY session ORDER BY CASE state WHEN 'pinned' THEN 0 WHEN 'included' THEN 1 ELSE 2 END, indexed_at, lower(title), id) AS place FROM states")
 def session_documents(spark, d):
+    """Each source is a session here."""
     order = [collections.state_order(F.col("state")), F.col("indexed_at"), F.lower("title"), F.col("id")]
-    first = _states(spark, d).orderBy(*order).limit(60)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("id", "state", "place")
+    return _states(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy(*order))).select("session", "id", "state", "place")
 
 
 @query(f"""WITH {DOCS}, {_STATES}, res AS (SELECT id, row_number() OVER (ORDER BY modified_at DESC, id) AS position FROM docs ORDER BY modified_at DESC, id LIMIT 20),
@@ -327,11 +331,11 @@ def answer_candidates(spark, d):
     return collections.answer_candidates(_states(spark, d), results).select("id", "origin")
 
 
-@query(f"""WITH {DOCS}, {_STATES}, cited AS (SELECT id, title FROM docs WHERE doc_id % 15 = 0), b AS (SELECT id, title, 0 AS p FROM states WHERE state <> 'excluded' UNION ALL SELECT id, title, 1 FROM cited)
+@query(f"""WITH {DOCS}, {_STATES}, cited AS (SELECT id, title FROM docs WHERE list_contains(tags, 'quality')), b AS (SELECT id, title, 0 AS p FROM states WHERE state <> 'excluded' UNION ALL SELECT id, title, 1 FROM cited)
   SELECT id, title FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY p) = 1""")
 def session_sources(spark, d):
     own = _states(spark, d).filter("state <> 'excluded'").select("id", "title", F.lit(0).alias("p"))
-    cited = documents(spark, d).filter("doc_id % 15 = 0").select("id", "title", F.lit(1).alias("p"))
+    cited = documents(spark, d, tags=True).filter(F.array_contains("tags", "quality")).select("id", "title", F.lit(1).alias("p"))
     return collections.keep_first(own.unionByName(cited), "id", "p").orderBy(F.lower("title"), "id").select("id", "title")
 
 
@@ -372,10 +376,15 @@ def bm25_filtered(spark, d):
 
 @query(f"WITH {DOCS}, {BM25} SELECT id, round(score, 6) AS score FROM bm25")
 def bm25_indexed(spark, d):
+    """From a stored index that two increments have made: of the documents in English, then of all others and, again, of some that are there."""
     docs = documents(spark, d)
-    index = search.postings(docs)
-    n, mean = docs.select(F.size(T.terms(F.col("content"))).alias("n")).agg(F.count(F.lit(1)), F.avg("n")).first()
-    return search.lexical_indexed(index, TERMS, n, mean).select("id", F.round("score", 6).alias("score"))
+    store = Store(spark, f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}")
+    index = Segments(store, "postings", "term string, id string, tf long, length int", 16)
+    n, length = docs.select(F.size(T.terms(F.col("content"))).alias("n")).agg(F.count(F.lit(1)), F.sum("n")).first()
+    for part in (docs.filter("lang = 'en'"), docs.filter("lang <> 'en' or source = 'src1'")):
+        with store.change() as c:
+            index.add(c, search.postings(part), search.term_part(F.col("term"), 16), part.select("id"), n)
+    return search.lexical_stored(index, TERMS, n, length or 0).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {DOCS}, {BM25} SELECT term, df.df AS df, (SELECT n FROM st) AS n, round((SELECT mean FROM st), 6) AS mean FROM df")
@@ -680,10 +689,11 @@ def incremental_plan(spark, d):
     return ingest.plan_scan(docs.select("path", later.alias("modified_at"), F.sha2(body, 256).alias("content_hash")), stored)
 
 
-@query(f"WITH {DOCS} SELECT id FROM docs WHERE source = 'src2' AND doc_id % 4 = 0")
+@query(f"WITH {DOCS} SELECT id FROM docs WHERE source = 'src2' AND lang = 'en'")
 def reconcile_stale(spark, d):
+    """A parse that has lost its English documents."""
     docs = documents(spark, d)
-    return ingest.stale(docs, docs.filter("doc_id % 4 <> 0"), F.col("source") == "src2").select("id")
+    return ingest.stale(docs, docs.filter("lang <> 'en'"), F.col("source") == "src2").select("id")
 
 
 @query("WITH w AS (SELECT path, op, t, n, row_number() OVER (PARTITION BY path ORDER BY t DESC, n DESC) AS r FROM (SELECT 'p' || user_id AS path, event_type AS op, ts AS t, event_id AS n FROM events)) SELECT path, op, strftime(t, '%Y-%m-%d %H:%M:%S') AS last FROM w WHERE r = 1")
@@ -774,11 +784,10 @@ def bounded_bytes(spark, d):
     return documents(spark, d).select("id", T.cut_bytes(F.col("content"), 100).alias("head"))
 
 
-@query("SELECT conv_id, row_number() OVER (ORDER BY max(turn) DESC, lower('S' || conv_id), conv_id) AS place FROM conversations GROUP BY conv_id ORDER BY place LIMIT 50")
+@query("SELECT conv_id, max(turn) AS updated, count(*) AS turns FROM conversations GROUP BY conv_id")
 def sessions_listed(spark, d):
-    s = read(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("updated"))
-    order = [F.desc("updated"), F.lower(F.concat(F.lit("S"), F.col("conv_id").cast("string"))), F.col("conv_id")]
-    return s.orderBy(*order).limit(50).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("conv_id", "place")
+    s = read(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("updated"), F.count(F.lit(1)).alias("turns"))
+    return s.orderBy(F.desc("updated"), F.lower(F.concat(F.lit("S"), F.col("conv_id").cast("string"))), "conv_id")
 
 
 @query(f"WITH {DOCS}, top AS (SELECT content, row_number() OVER (ORDER BY modified_at DESC, id) AS p FROM docs ORDER BY p LIMIT 5) SELECT string_agg('--- Document ' || p || ' ---' || chr(10) || substring(content, 1, 1000), chr(10) || chr(10) ORDER BY p) AS prompt FROM top")
@@ -794,6 +803,34 @@ def reason_labels(spark, d):
     return related.shared_values(tags, "4").select("id", related.label(F.lit("shared_tags"), F.col("score"), F.col("values")).alias("label"))
 
 
+_RUNS = "[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+"
+_MARKED = f"""(SELECT CASE WHEN beg > 0 THEN '…' ELSE '' END || array_to_string(list_transform(p[beg + 1:beg + 40], lambda w: CASE WHEN list_contains([{_in(TERMS)}], lower(w)) THEN '<mark>' || w || '</mark>' ELSE w END), '')
+    || CASE WHEN beg + 40 < len(p) THEN '…' ELSE '' END FROM (SELECT greatest(i - 11, 0) AS beg FROM (SELECT unnest(range(1, len(p) + 1)) AS i) WHERE list_contains([{_in(TERMS)}], lower(p[i]))
+    ORDER BY len(list_filter(p[greatest(i - 11, 0) + 1:greatest(i - 11, 0) + 40], lambda w: list_contains([{_in(TERMS)}], lower(w)))) DESC, i LIMIT 1))"""
+
+
+@query(f"""WITH {DOCS}, parts AS (SELECT id, 'title' AS field, regexp_extract_all(title, '{_RUNS}') AS p FROM docs UNION ALL SELECT id, 'content', regexp_extract_all(content, '{_RUNS}') FROM docs),
+  f AS (SELECT id, field, {_MARKED} AS fragment FROM parts) SELECT id, field, fragment FROM f WHERE fragment IS NOT NULL""")
+def highlights(spark, d):
+    """The best fragment of the title and of the content of every document with a term of the query."""
+    field = F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("x")), F.struct(F.lit("content").alias("field"), F.col("content").alias("x"))))
+    rows = documents(spark, d).select("id", field.alias("f"))
+    return rows.select("id", "f.field", T.highlight(F.col("f.x"), TERMS).alias("fragment")).filter("fragment is not null")
+
+
+_SAID = '+the thin* -"of the" title:the^2 hous~1'
+
+
+@query(f"""WITH {DOCS}, w AS (SELECT id, regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+') AS t, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS c FROM docs),
+  n AS (SELECT id, len(t) + len(c) AS len, len(list_filter(t, lambda x: x = 'the')) AS n3, len(list_filter(t || c, lambda x: x = 'the')) AS n0, len(list_filter(t || c, lambda x: starts_with(x, 'thin'))) AS n1,
+    len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) + len(list_filter(range(1, len(c)), lambda i: c[i] = 'of' AND c[i + 1] = 'the')) AS n2, len(list_filter(t || c, lambda x: levenshtein(x, 'hous') <= 1)) AS n4 FROM w),
+  st AS (SELECT count(*) AS n, avg(len) AS mean, {', '.join(f'count(*) FILTER (WHERE n{i} > 0) AS df{i}' for i in range(5))} FROM n)
+  SELECT id, round({' + '.join(f'CASE WHEN n{i} > 0 THEN {b}.0::DOUBLE * ln(1 + (st.n - df{i} + 0.5) / (df{i} + 0.5)) * n{i} * 2.2 / (n{i} + 1.2 * (0.25 + 0.75 * len / mean)) ELSE 0.0 END' for i, b in ((0, 1), (1, 1), (3, 2), (4, 1)))}, 6) AS score
+  FROM n, st WHERE n0 > 0 AND n2 = 0""")
+def query_string(spark, d):
+    return query_strings.search(documents(spark, d), _SAID).select("id", F.round("score", 6).alias("score"))
+
+
 # --- parsers without a SQL form ---
 
 

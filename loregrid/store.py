@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -50,6 +51,16 @@ DELTAS = 8
 BUCKETS = 16
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a folder of this machine only for local masters without the setting."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="loregrid-shared-")
+    return named.rstrip("/")
+
+
 class Conflict(RuntimeError):
     """Another writer has put a manifest in between."""
 
