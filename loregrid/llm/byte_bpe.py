@@ -2,11 +2,12 @@
 
 A sequence of tokens is what the merges give for its bytes exactly when each two neighbours are: the merges
 of their joined bytes never cross the cut between them. So the transducer reads bytes and holds hypotheses,
-each a chain of tokens that fit in pairs and the beginning of a next token. Every prefix of a text has one
-such chain that covers it, so a state has at most as many hypotheses as the longest token has bytes. The
-subset construction makes it deterministic: a state is the set of hypotheses, less the tokens that all of
-them share, which are emitted at once; what is not yet shared is the bounded lookahead. States and
-transitions are made when a text first needs them; past ``states`` of them the table starts anew.
+each a last token and the beginning of a next one that may stand behind it. Every prefix of a text has one
+chain of fitting tokens that covers it, so there are at most as many hypotheses as the longest token has bytes.
+The subset construction makes it deterministic: a state is the set of hypotheses, and each move tells which
+token ends at the byte. Tokens are emitted as soon as the chains of all hypotheses agree on them; the rest,
+the bounded lookahead, is what is held. States and moves are made when a text first needs them; past
+``states`` of them the table starts anew.
 
 Decoding joins the tokens' bytes; ``Utf8Machine`` turns a stream of bytes into text as characters end.
 
@@ -18,12 +19,16 @@ whatever their names; repeated rows give repeated rows; an empty table gives no
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import uuid
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,18 +37,25 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, L
 from loregrid.llm.arrays import plain
 from loregrid.llm.io import mapped, named
 
-#: States of the transducer and matches that a worker keeps.
-STATES, MATCHES = 200_000, 300_000
+#: States of the transducer, and matches that a worker keeps twice over.
+STATES, MATCHES = 250_000, 600_000
 #: Tokens after which a batch is handed on.
 BATCH = 1 << 20
 #: Tokens that are decoded at a time.
 CHUNK = 4096
 NEVER = 1 << 62
+#: A hypothesis is (last token + 1) << BITS | node of the next token's beginning.
+BITS = 24
+NODE = (1 << BITS) - 1
+#: Bytes after which a long match is looked through for what its hypotheses agree on.
+WINDOW = 1024
 #: The letters and numbers (first, last) that came with Unicode 17 and 18; the library, at 16, takes them for other characters.
 NEW_WORD_CHARACTERS = [
     (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 ]
 
+FIRST_NEW = chr(NEW_WORD_CHARACTERS[0][0])
+
 
 def compiled(pattern: str) -> regex.Pattern:
     """The pattern with letters and numbers as the library knows them, whatever the version of ``regex``."""
@@ -65,15 +77,19 @@ class Transducer:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self.ranks, self.most = ranks, states
         self.token = {rank: token for token, rank in ranks.items()}
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         #: The tree of the tokens' beginnings: node << 8 | byte -> node, and each node's token, -1 for none. Node 0 is empty.
         self.below: dict[int, int] = {}
         self.at: list[int] = [-1]
+        self.depth: list[int] = [0]
         for token, rank in ranks.items():
-            node = 0
+            node = last = 0
             for byte in token:
                 node = self.below.setdefault(node << 8 | byte, len(self.at))
                 if node == len(self.at):
                     self.at.append(-1)
+                    self.depth.append(self.depth[last] + 1)
+                last = node
             self.at[node] = rank
         self._parts: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._edges: tuple[dict, dict] = ({}, {})
@@ -140,77 +156,91 @@ class Transducer:
     # --- the deterministic transducer ---
 
     def _restart(self) -> None:
-        self.names: dict[tuple, int] = {}
-        self.sets: list[tuple] = []
-        self.ends: list[tuple[int, ...]] = []
-        #: state << 8 | byte -> (state, tokens emitted)
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._fit: dict[tuple[int, int], bool] = {}
-        self._named((-1, (((), 0),)))
-
-    def _named(self, key: tuple) -> int:
-        """The state of (last emitted token, hypotheses as (tokens not emitted, node of the next one's beginning))."""
-        state = self.names.get(key)
+        self.names: dict[tuple[int, ...], int] = {}
+        self.sets: list[tuple[int, ...]] = []
+        #: state << 8 | byte -> (state, the token that ends here)
+        self.moves: dict[int, tuple[int, int]] = {}
+        self._fit: dict[int, bool] = {}
+        self._named((0,))
+
+    def _named(self, hypotheses: tuple[int, ...]) -> int:
+        state = self.names.get(hypotheses)
         if state is None:
-            state = self.names[key] = len(self.sets)
-            self.sets.append(key)
-            last, hypotheses = key
-            pending, node = hypotheses[0]
-            whole = self.at[node] if last < 0 and not pending else -1
-            self.ends.append((whole,) if whole >= 0 else hypotheses[-1][0])
+            state = self.names[hypotheses] = len(self.sets)
+            self.sets.append(hypotheses)
         return state
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, hypotheses = self.sets[state]
-        kept, covers, below, at, fit = [], None, self.below, self.at, self._fit
-        for pending, node in hypotheses:
-            node = below.get(node << 8 | byte)
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        kept, ending, below, at, fit = [], -1, self.below, self.at, self._fit
+        for h in self.sets[state]:
+            node = below.get((h & NODE) << 8 | byte)
             if node is None:
                 continue
-            kept.append((pending, node))
-            if covers is None and (token := at[node]) >= 0:
-                pair = (pending[-1] if pending else last, token)
+            kept.append(h & ~NODE | node)
+            token = at[node]
+            if token >= 0 and ending < 0:
+                pair = h & ~NODE | token
                 fits = fit.get(pair)
                 if fits is None:
-                    fits = fit[pair] = self.fits(*pair)
+                    fits = fit[pair] = self.fits((h >> BITS) - 1, token)
                 if fits:
-                    covers = (*pending, token)
-        shared = len(covers)
-        for pending, _ in kept:
-            n = 0
-            for a, b in zip(pending, covers):  # noqa: B905
-                if a != b or n == shared:
-                    break
-                n += 1
-            shared = n
-            if not n:
-                break
-        emitted = covers[:shared]
-        kept.append((covers, 0))
-        if shared:
-            last, kept = emitted[-1], [(p[shared:], node) for p, node in kept]
-        move = self.moves[state << 8 | byte] = (self._named((last, tuple(kept))), emitted)
+                    ending = token
+        kept.append(ending + 1 << BITS)
+        move = self.moves[state << 8 | byte] = (self._named(tuple(kept)), ending)
         return move
 
+    def _back(self, ends: list[int], at: int) -> list[int]:
+        """The tokens up to the place ``at``, from the token that ends at each place."""
+        out = []
+        while at > 0:
+            out.append(ends[at - 1])
+            at -= self.size[out[-1]]
+        out.reverse()
+        return out
+
+    def _agreed(self, ends: list[int], state: int) -> int:
+        """The last place up to which all hypotheses have the same tokens."""
+        places = {len(ends) - self.depth[h & NODE] for h in self.sets[state]}
+        while len(places) > 1:
+            last = max(places)
+            places.remove(last)
+            places.add(last - self.size[ends[last - 1]])
+        return places.pop()
+
+    def stream(self, data: Iterable[int]) -> Iterator[list[int]]:
+        """The tokens of one match's bytes, in parts: each as soon as ``WINDOW`` bytes are held and its hypotheses agree."""
+        ends, state, moves = [], 0, self.moves
+        for byte in data:
+            move = moves.get(state << 8 | byte) or self._move(state, byte)
+            state = move[0]
+            ends.append(move[1])
+            if len(ends) % WINDOW == 0 and (at := self._agreed(ends, state)):
+                yield self._back(ends, at)
+                del ends[:at]
+        yield self._back(ends, len(ends))
+
     def encode(self, data: bytes) -> tuple[int, ...]:
-        """The tokens of one match; what lies behind a byte is emitted as soon as no hypothesis differs in it."""
+        """The tokens of one match; a match that is a token as a whole is that token."""
+        whole = self.ranks.get(data)
+        if whole is not None:
+            return (whole,)
         if len(self.sets) > self.most:
             self._restart()
-        out: list[int] = []
-        state, moves = 0, self.moves
+        if len(data) >= WINDOW:
+            return tuple(chain.from_iterable(self.stream(data)))
+        ends, state, moves = [], 0, self.moves
         for byte in data:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        out += self.ends[state]
-        return tuple(out)
+            state, token = moves.get(state << 8 | byte) or self._move(state, byte)
+            ends.append(token)
+        return tuple(self._back(ends, len(ends)))
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        try:
-            return b"".join(map(self.token.__getitem__, ids))
-        except KeyError as e:
-            raise ValueError(f"no token has the id {e.args[0]}") from None
+
+def joined(token: dict[int, bytes], ids: Iterable[int]) -> bytes:
+    """The bytes of the tokens."""
+    try:
+        return b"".join(map(token.__getitem__, ids))
+    except KeyError as e:
+        raise ValueError(f"no token has the id {e.args[0]}") from None
 
 
 def _utf8_moves() -> dict[str, list[tuple[range, str]]]:
@@ -238,10 +268,21 @@ class Utf8Machine:
         self.state, self.held, self.broken = "", b"", 0
 
     def feed(self, data: bytes) -> str:
-        if not self.held and data.isascii():
-            return data.decode("ascii")
-        out, at = [], 0
+        """The text of the characters that have ended: at once where all before the last three bytes is well formed, else move by move."""
         data, self.held, self.state = self.held + data, b"", ""
+        cut = len(data)
+        for back in range(1, min(4, len(data) + 1)):
+            if data[-back] >= 0xC0:  # the last character begins here
+                cut = len(data) - back
+            if data[-back] < 0x80 or data[-back] >= 0xC0:
+                break
+        try:
+            return data[:cut].decode("utf-8") + self._moved(data[cut:])
+        except UnicodeDecodeError:
+            return self._moved(data)
+
+    def _moved(self, data: bytes) -> str:
+        out, at = [], 0
         for run in self._OTHER.finditer(data):
             out.append(data[at : run.start()].decode("ascii"))
             out.append(self._run(run.group(), run.end() == len(data)))
@@ -281,33 +322,46 @@ class Utf8Machine:
         return self._mark() if held else ""
 
 
-#: A worker's transducer and the tokens of matches it has met, by the query that they are for: one at a time.
-_WORKER: dict[str, tuple[Transducer, dict[str, tuple[int, ...]]]] = {}
+class Matches:
+    """The tokens of the matches that a worker has met: those of the last ``most`` and of as many before, so that frequent ones stay."""
+
+    def __init__(self, transducer: Transducer, pattern: str, most: int = MATCHES):
+        self.transducer, self.most = transducer, most
+        self.usual, self.careful = regex.compile(pattern), compiled(pattern)
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
+    def met(self, piece: str) -> tuple[int, ...]:
+        tokens = self.young.get(piece) or self.old.get(piece) or self.transducer.encode(piece.encode("utf-8", "replace"))
+        if len(piece) <= 64:
+            if len(self.young) >= self.most:
+                self.young, self.old = {}, self.young
+            self.young[piece] = tokens
+        return tokens
 
-def _of_worker(key: str, ranks: dict[bytes, int]) -> tuple[Transducer, dict[str, tuple[int, ...]]]:
+    def ids(self, text: str) -> array:
+        """The ids of a text: each match of the pattern passes the transducer once while it is remembered."""
+        # The slower pattern is for texts that may hold a new character.
+        pattern = self.usual if not text or max(text) < FIRST_NEW else self.careful
+        pieces = pattern.findall(text)
+        tokens = list(map(self.young.get, pieces))
+        if None in tokens:
+            tokens = [t or self.met(p) for t, p in zip(tokens, pieces)]  # noqa: B905
+        return array("i", chain.from_iterable(tokens))
+
+
+#: A worker's matches, by the query that they are for: one at a time.
+_WORKER: dict[str, Matches] = {}
+
+
+def _of_worker(key: str, ranks: dict[bytes, int], pattern: str) -> Matches:
     if key not in _WORKER:
         _WORKER.clear()
-        _WORKER[key] = (Transducer(ranks), {})
+        gc.set_threshold(100_000, 50, 1000)  # the tables hold no cycles; looking through them again and again is a fourth of the time
+        _WORKER[key] = Matches(Transducer(ranks), pattern)
     return _WORKER[key]
 
 
-def encode_text(text: str, pattern: regex.Pattern, transducer: Transducer, known: dict[str, tuple[int, ...]]) -> array:
-    """The ids of a text: each match of the pattern passes the transducer once for as long as ``known`` keeps it."""
-    ids = array("i")
-    for match in pattern.finditer(text):
-        piece = match.group()
-        tokens = known.get(piece)
-        if tokens is None:
-            tokens = transducer.encode(piece.encode("utf-8", "replace"))
-            if len(piece) <= 64:
-                if len(known) >= MATCHES:
-                    known.clear()
-                known[piece] = tokens
-        ids.extend(tokens)
-    return ids
-
-
 def _batches(ids: pa.Array, rows: list[array], more: list[list]) -> pa.RecordBatch:
     """The first column, the ids as lists, and further columns."""
     at = array("i", [0])
@@ -325,12 +379,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     shared, key = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer, known = _of_worker(key, shared.value)
-        matches = compiled(pattern)
+        matches = _of_worker(key, shared.value, pattern)
         for batch in batches:
             rows, size, begin = [], 0, 0
             for i, text in enumerate(plain(batch.column(1))):
-                rows.append(encode_text(text.as_py(), matches, transducer, known))
+                rows.append(matches.ids(text.as_py()))
                 size += len(rows[-1])
                 if size >= BATCH or i + 1 == batch.num_rows:
                     yield _batches(batch.column(0).slice(begin, len(rows)), rows, [])
@@ -344,15 +397,14 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
 def _decoded(encoded: DataFrame, vocabulary: str, added: list[StructField], of) -> DataFrame:
     """``added`` columns of each row's ids; ``of`` gets the chunks of its bytes and makes their values."""
-    shared, key = encoded.sparkSession.sparkContext.broadcast(load_ranks(vocabulary)), uuid.uuid4().hex
+    shared = encoded.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer, _ = _of_worker(key, shared.value)
+        token = {rank: data for data, rank in shared.value.items()}
         for batch in batches:
-            rows, lists = [], batch.column(1)
-            for i in range(batch.num_rows):
-                ids = lists.slice(i, 1).flatten().to_pylist()
-                rows.append(of(ids, (transducer.decode(ids[j : j + CHUNK]) for j in range(0, len(ids), CHUNK))))
+            lists = batch.column(1)
+            flat, at = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4"), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]
+            rows = [of(flat[at[i] : at[i + 1]], (joined(token, flat[j : min(j + CHUNK, at[i + 1])].tolist()) for j in range(at[i], at[i + 1], CHUNK))) for i in range(batch.num_rows)]
             made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_arrow(f) for f in added)]
             yield pa.record_batch([batch.column(0), lists, *made], names=[f"c{i}" for i in range(2 + len(made))])
 
@@ -367,7 +419,7 @@ def _arrow(field: StructField) -> pa.DataType:
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """The columns (id, ids) of ``encode`` with text and broken, the number of U+FFFD that stand for bytes without a character."""
 
-    def text(_: list[int], chunks: Iterator[bytes]) -> tuple[str, int]:
+    def text(_: np.ndarray, chunks: Iterator[bytes]) -> tuple[str, int]:
         machine = Utf8Machine()
         parts = [machine.feed(c) for c in chunks]
         return "".join([*parts, machine.end()]), machine.broken
@@ -378,14 +430,13 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256, broken): the ids as little-endian 32-bit integers, the bytes that they decode to."""
 
-    def digest(ids: list[int], chunks: Iterator[bytes]) -> tuple[int, str, str, int]:
+    def digest(ids: np.ndarray, chunks: Iterator[bytes]) -> tuple[int, str, str, int]:
         whole, machine = hashlib.sha256(), Utf8Machine()
         for chunk in chunks:
             whole.update(chunk)
             machine.feed(chunk)
         machine.end()
-        numbers = b"".join(x.to_bytes(4, "little") for x in ids)
-        return len(ids), hashlib.sha256(numbers).hexdigest(), whole.hexdigest(), machine.broken
+        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), whole.hexdigest(), machine.broken
 
     added = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType()), StructField("broken", LongType())]
     return _decoded(encoded, vocabulary, added, digest).drop(encoded.columns[1])

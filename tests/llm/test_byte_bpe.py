@@ -56,17 +56,17 @@ def test_unknown_ids_and_halves_of_characters(spark):
 
 def test_fuzzed_texts(ranks, library):
     rng, parts = random.Random(7), ["a", "e", " ", "  ", "th", "ing", "\n", "é", "中", "0", "12", "'s", "'", "aaaa", "--", "　", "ह", "😀", "́"]
-    transducer, pattern = byte_bpe.Transducer(ranks, states=500), byte_bpe.compiled(public_tokenizers.PATTERN)  # starts anew many times
+    matches = byte_bpe.Matches(byte_bpe.Transducer(ranks, states=500), public_tokenizers.PATTERN, most=200)  # both start anew many times
     for _ in range(1500):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 50)))
-        assert list(byte_bpe.encode_text(text, pattern, transducer, {})) == library.encode_ordinary(text)
+        assert list(matches.ids(text)) == library.encode_ordinary(text)
 
 
 def test_every_character(ranks, library):
-    transducer, pattern = byte_bpe.Transducer(ranks), byte_bpe.compiled(public_tokenizers.PATTERN)
+    matches = byte_bpe.Matches(byte_bpe.Transducer(ranks), public_tokenizers.PATTERN)
     for low in range(0, 0x110000, 64):
         text = "".join(f"a{chr(c)}b 1{chr(c)}  {chr(c)}" for c in range(low, low + 64) if not 0xD800 <= c < 0xE000)
-        assert list(byte_bpe.encode_text(text, pattern, transducer, {})) == library.encode_ordinary(text), hex(low)
+        assert list(matches.ids(text)) == library.encode_ordinary(text), hex(low)
 
 
 def test_small_vocabularies_against_plain_merging():
@@ -92,6 +92,13 @@ def test_small_vocabularies_against_plain_merging():
             assert list(transducer.encode(text.encode())) == library.encode_ordinary(text), (trial, text, tokens[256:])
 
 
+def test_long_matches_are_emitted_on_the_way(ranks, library):
+    transducer, rng = byte_bpe.Transducer(ranks), random.Random(3)
+    for text in ("".join(rng.choice("abcdefgh") for _ in range(20000)), "中文" * 5000, "-=" * 9000):
+        parts = list(transducer.stream(text.encode()))
+        assert len(parts) > 10 and [x for p in parts for x in p] == library.encode_ordinary(text)
+
+
 def test_utf8_machine():
     rng, some = random.Random(2), [0x41, 0xC3, 0xA9, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x98, 0x80, 0xED, 0xA0, 0xFF, 0xF4, 0x90, 0xC0]
     for _ in range(5000):
