@@ -9,6 +9,7 @@ from email import policy
 from email.message import EmailMessage
 
 from loregrid.functions.text import MASKS
+from loregrid.sources.attachments import Budget, expanded
 from loregrid.sources.base import Parsed
 from loregrid.sources.html import visible_text
 
@@ -53,13 +54,14 @@ def masked(text: str) -> str:
     return text
 
 
-def parse(path: str, data: bytes, attachment_limit: int = ATTACHMENT, readers: dict[str, Callable[[str, bytes], list[Parsed]]] | None = None) -> list[Parsed]:
+def parse(path: str, data: bytes, attachment_limit: int = ATTACHMENT, readers: dict[str, Callable[[str, bytes], list[Parsed]]] | None = None, budget: Budget | None = None) -> list[Parsed]:
     """The thread as one document, its bodies masked and parted by lines, and one for each attachment that can be read.
 
-    Attachments that are too large or fail are named in the metadata.
+    Archives give what they hold, also in archives inside them, under one budget for the whole file. Attachments
+    that are too large or fail are named in the metadata.
     """
     readers = {".txt": _text, ".md": _text, ".csv": _text} | (readers or {})
-    found = messages(path, data)
+    found, budget = messages(path, data), budget or Budget()
     bodies, children, names, failures = [], [], set(), []
     for n, m in enumerate(found):
         bodies.append(masked(body_of(m)))
@@ -69,15 +71,20 @@ def parse(path: str, data: bytes, attachment_limit: int = ATTACHMENT, readers: d
                 continue
             names.add(name)
             raw = part.get_payload(decode=True) or b""
-            reader = readers.get("." + name.rsplit(".", 1)[-1].lower())
             if len(raw) > attachment_limit:
                 failures.append(f"{name}: larger than {attachment_limit} bytes")
-            elif reader:
+                continue
+            files, failed = expanded(name, raw, budget)
+            failures += failed
+            for own, data in files:
+                reader = readers.get("." + own.rsplit(".", 1)[-1].lower())
+                if not reader:
+                    continue
                 try:
-                    for c in reader(name, raw):
-                        children.append(Parsed(c.title or name, masked(c.content), {"attachment": name, **c.metadata}, ("attachment", str(n), name, *c.parts)))
+                    for c in reader(own, data):
+                        children.append(Parsed(c.title or own, masked(c.content), {"attachment": own, **c.metadata}, ("attachment", str(n), own, *c.parts)))
                 except Exception as e:  # the message itself is still good
-                    failures.append(f"{name}: {e}")
+                    failures.append(f"{own}: {e}")
     first = found[0] if found else EmailMessage()
     head = {k: masked(str(first.get(h, ""))) for k, h in (("from", "From"), ("to", "To"), ("date", "Date")) if first.get(h)}
     meta = {**head, **({"attachments": ",".join(sorted(names))} if names else {}), **({"attachment_failures": "; ".join(failures)} if failures else {})}

@@ -83,7 +83,7 @@ class Store:
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.spark, self.root, self.buckets, self.upgrading = spark, root.rstrip("/"), buckets, False
         self._jvm_path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path("x").getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -116,7 +116,11 @@ class Store:
             if (found := self._manifest_at(number)) is not None:
                 if found["version"] > VERSION:
                     raise ValueError(f"the store has version {found['version']}, this code reads {VERSION} at most")
+                if (found["version"] < VERSION or found.get("upgrading")) and not self.upgrading:
+                    raise ValueError("the store has to be upgraded first, by loregrid.migrations.migrate")
                 return found
+        if self._fs.exists(self._path("manifest.json")) and not self.upgrading:
+            raise ValueError("the store has to be upgraded first, by loregrid.migrations.migrate")
         return {"version": VERSION, "number": 0, "tables": {}, "segments": {}, "model": None, "dim": None}
 
     def _save(self, manifest: dict, basis: int) -> None:
