@@ -35,7 +35,7 @@ LEAF = 1024
 class Tree:
     """A vantage-point tree over distinct vectors; nodes are (point, lo/hi of the near and far child, children)."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: float, keep: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: float, keep: int, scale: float = 1.0):
         order = np.lexsort((ids,))
         ids, vectors = ids[order], vectors[order]
         self.vectors, back = np.unique(vectors, axis=0, return_inverse=True)
@@ -44,16 +44,17 @@ class Tree:
         at = np.searchsorted(back[rank], np.arange(len(self.vectors) + 1))
         # A query's k best of equal vectors are the k smallest ids, or k + 1 if its own is among them: keep = k + 1.
         self.ids = [ids[rank[a : min(b, a + keep)]] for a, b in zip(at[:-1], at[1:], strict=True)]
-        self.norm = norm
+        self.norm, self.scale = norm, scale
         self._lift()
         self.root = self._build(np.arange(len(self.vectors)), np.random.default_rng(7))
 
     def _lift(self) -> None:
-        rest = np.sqrt(np.maximum(self.norm**2 - np.einsum("ij,ij->i", self.vectors, self.vectors), 0))
-        self.lifted = np.c_[self.vectors, rest]
+        scaled = self.vectors * self.scale
+        rest = np.sqrt(np.maximum(self.norm**2 - np.einsum("ij,ij->i", scaled, scaled), 0))
+        self.lifted = np.c_[scaled, rest]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k in ("vectors", "ids", "norm", "root")}
+        return {k: v for k, v in self.__dict__.items() if k in ("vectors", "ids", "norm", "scale", "root")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -74,6 +75,9 @@ class Tree:
     def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, int]:
         """(distances, rows) of the k + 1 nearest distinct vectors of each query, and the number of distances taken."""
         width = min(k + 1, len(self.vectors))
+        if self.scale != 1.0 and len(queries):
+            # A query's length does not change its order: a power of two brings its largest component below 1.
+            queries = np.ldexp(queries, -np.frexp(np.abs(queries).max(1, keepdims=True))[1])
         self._q = np.c_[queries, np.zeros(len(queries))]
         self._qq = np.einsum("ij,ij->i", self._q, self._q)
         self._xx = np.einsum("ij,ij->i", self.lifted, self.lifted)
@@ -141,15 +145,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
 
     base, asked = prepared(vectors), prepared(queries)
     dot = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    lengths = base.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(dot).alias("norm"))
+    largest = F.array_max(F.transform("v", F.abs))
+    lengths = base.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(dot).alias("norm"), F.max(largest).alias("largest"))
     said = lengths.orderBy(F.desc("n"), F.desc("dim")).first()
-    dim, n, norm = (said["dim"], said["n"], float(said["norm"]) ** 0.5) if said else (0, 0, 0.0)
+    dim, n, norm, scale = (said["dim"], said["n"], float(said["norm"]) ** 0.5, 1.0) if said else (0, 0, 0.0, 1.0)
+    if said and max(said["largest"], asked.agg(F.max(largest)).first()[0] or 0.0) > 1e100:
+        # Squares would leave the range of doubles: distances are taken of vectors times a power of two, scores of the vectors themselves.
+        scale = 2.0 ** max(-1000, min(1000, -int(np.frexp(said["largest"])[1])))
+        norm = float(base.filter(F.size("v") == dim).agg(F.max(F.aggregate(F.transform("v", lambda x: x * scale), F.lit(0.0), lambda s, x: s + x * x))).first()[0]) ** 0.5
     shards = max(1, -(-n // shard_rows))
     base, asked = base.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
     blocks = max(1, -(-asked.count() // block_rows))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = Tree(pdf["id"].to_numpy(np.int64), np.stack(pdf["v"].to_list()).astype(np.float64), norm, k + 1)
+        tree = Tree(pdf["id"].to_numpy(np.int64), np.stack(pdf["v"].to_list()).astype(np.float64), norm, k + 1, scale)
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "tree": [pickle.dumps(tree, 4)]})
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:

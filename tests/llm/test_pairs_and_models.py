@@ -385,3 +385,24 @@ def test_every_stage_takes_any_table(spark, sf_dir):
         assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == want, name
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == len(rows)
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1e120])
+def test_vectors_whose_squares_leave_the_range(spark, size):
+    rng = np.random.default_rng(4)
+    unit = rng.normal(size=(60, 5))
+    own = unit * np.where(np.arange(60) % 3 == 0, 1.0, size)[:, None] if size > 1e150 else unit * size
+    rows = [(i, [float(x) for x in v], "c", 1) for i, v in enumerate(own)] + [(60, [0.0] * 5, "c", 1), (61, None, "c", 1), (62, [1.0, None, 0.0, 0.0, 0.0], "c", 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard string, id int")
+    asked = vectors.filter("vec_id % 9 = 0 and vec_id < 60")  # their products with all others are finite
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in vp_search.search(vectors, asked, k=7, shard_rows=16).collect()}
+    with np.errstate(over="ignore"):
+        for q in range(0, 60, 9):
+            score = [(float((own[i] * own[q]).sum()), i) for i in range(60) if i != q]
+            best = sorted((x for x in score if x[0] == x[0]), key=lambda x: (-x[0], x[1]))[:7]
+            assert [got[q, k][0] for k in range(1, 8)] == [i for _, i in best], (size, q)
+
+
+def test_vector_search_over_no_rows(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert vp_search.search(empty, empty).collect() == []
