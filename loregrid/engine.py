@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
@@ -10,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loregrid import sinks
 from loregrid.functions import text as T
 from loregrid.functions.chunker import chunked
 from loregrid.operators import answers, collections, ingest, related, search
@@ -123,6 +126,27 @@ class Engine:
         hits = search.fuse(left, self.nearest(self.embed(meaning), pool), self.weight)
         return docs.join(F.broadcast(hits), "id").orderBy(F.desc("score"), "id").limit(limit)  # at most 2 * pool rows
 
+    def find(self, query: str, limit: int = 50) -> DataFrame:
+        """``search``; if it finds nothing, the documents whose title or content hold the query as it stands, the last modified first."""
+        hits = self.search(query, limit)
+        if not hits.isEmpty():
+            return hits
+        text = query.strip().lower()
+        held = F.lower("title").contains(text) | F.lower("content").contains(text)
+        return self.documents().filter(held).orderBy(F.desc("modified_at"), "id").limit(limit).withColumn("score", F.lit(0.0))
+
+    def search_string(self, query: str, limit: int = 50) -> DataFrame:
+        """Documents that a query string matches, with the best fragments of their title and content."""
+        from loregrid.plans import query_string
+
+        docs = self.documents()
+        top = query_string.search(docs, query).orderBy(F.desc("score"), "id").limit(limit)
+        said = [c.text for c in query_string.parse(query) if c.occur != "-" and not c.field]
+        words = list(dict.fromkeys(self.spark.range(1).select(T.terms(F.lit(" ".join(said)))).first()[0]))
+        marked = lambda c: T.highlight(F.col(c), words) if words else F.lit(None).cast("string")
+        found = docs.join(F.broadcast(top), "id")  # at most ``limit`` rows
+        return found.withColumns({"title_fragment": marked("title"), "content_fragment": marked("content")}).orderBy(F.desc("score"), "id")
+
     def related(self, document_id: str, limit: int = 10) -> DataFrame:
         docs = self.documents()
         source = docs.filter(F.col("id") == document_id).select("title", "content", "tags", F.try_element_at("metadata", F.lit("headings")).alias("headings")).first()
@@ -281,8 +305,43 @@ class Engine:
             self.remove(gone)
         return gone
 
+    def capture(self, title: str, text: str, url: str = "", collection: str | None = None) -> str:
+        """Writes a note below the workspace, indexes it and adds it to a collection, which is made if there is none. Returns its id; the same note again changes nothing."""
+        if not text.strip():
+            raise ValueError("a note has a text")
+        name = self.spark.range(1).select(sinks.capture_name(F.lit(title), F.lit(url or text))).first()[0]
+        path = f"captures/{name}" if name.endswith(".md") else f"captures/{name}.md"
+        head = "".join(f"{k}: {json.dumps(v)}\n" for k, v in (("title", title), ("source_url", url)) if v)
+        out = self.store._fs.create(self.store._path(path), True)
+        try:
+            out.write(bytearray(f"---\n{head}---\n\n{text.strip()}\n".encode()))
+        finally:
+            out.close()
+        own = hashlib.sha256(path.encode()).hexdigest()[:16]
+        row = [(own, "markdown", f"{self.store.root}/{path}", title or name, text.strip(), hashlib.sha256(text.strip().encode()).hexdigest(), {"source_url": url} if url else {})]
+        self.index(self.spark.createDataFrame(row, "id string, source string, path string, title string, content string, content_hash string, metadata map<string,string>"))
+        if collection:
+            if self.store.read("collections").filter(F.col("name") == collection).isEmpty():
+                self.create_collection(collection)
+            self.add_to_collection(collection, self.spark.createDataFrame([(own,)], "id string"))
+        return own
+
     # --- tags ---
 
+    def refresh_tags(self) -> int:
+        """Writes each document's stored tags into its metadata (``stored_tags``); how many documents changed. Only they are written."""
+        stored = self.store.read("document_tags").groupBy(F.col("document_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("_stored"))
+        docs = self.store.read("documents").join(stored, "id", "left")
+        had = F.try_element_at("metadata", F.lit("stored_tags"))
+        rest = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: k != "stored_tags")
+        new = F.when(F.col("_stored").isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit("stored_tags"), F.col("_stored"))))
+        changed, path = self.store.staged(docs.filter(~had.eqNullSafe(F.col("_stored"))).withColumn("metadata", new).drop("_stored"))
+        n = changed.count()
+        if n:
+            self.store.put("documents", changed)
+        self.store.unstage(path)
+        return n
+
     def _tagged(self, document_id: str, tags: tuple[str, ...], manual: bool) -> None:
         rows = self.spark.createDataFrame([(document_id, t.strip().lower(), manual) for t in tags if t.strip()], "document_id string, tag string, manual boolean").distinct()
         self.store.put("document_tags", rows.join(self.store.read("document_tags"), ["document_id", "tag"], "left_anti"))

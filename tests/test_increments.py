@@ -189,6 +189,26 @@ def test_verbs(spark, tmp_path):
     assert [r.id for r in e.store.read("documents").collect()] == ["b"] and e.store.read("document_tags").count() == 0
 
 
+def test_capture_find_and_tag_projection(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), buckets=2, parts=2)
+    own = e.capture("A Note", "alpha-beta gamma", "https://x.example/y", "notes")
+    assert e.capture("A Note", "alpha-beta gamma", "https://x.example/y", "notes") == own and e.store.read("documents").count() == 1
+    assert [r.id for r in e.collection_documents("notes").collect()] == [own]
+    note = e.get_document(own).first()
+    with open(note.path) as f:
+        assert f.read() == '---\ntitle: "A Note"\nsource_url: "https://x.example/y"\n---\n\nalpha-beta gamma\n'
+    with pytest.raises(ValueError):
+        e.capture("Empty", " ")
+    assert [r.id for r in e.find("gamma").collect()] == [own] and [r.id for r in e.find("amm").collect()] == [own] and e.find("none").count() == 0
+    hit = e.search_string("+gam* note").first()
+    assert hit.id == own and hit.title_fragment == "A <mark>Note</mark>" and hit.content_fragment is None
+    e.tag(own, "b", "a")
+    assert e.refresh_tags() == 1 and e.refresh_tags() == 0 and e.get_document(own).first().metadata == {"source_url": "https://x.example/y", "stored_tags": "a,b"}
+    e.untag(own, "a")
+    e.untag(own, "b")
+    assert e.refresh_tags() == 1 and "stored_tags" not in e.get_document(own).first().metadata
+
+
 def test_each_distinct_text_meets_the_model_once(spark, tmp_path):
     calls = spark.sparkContext.accumulator(0)
 
