@@ -73,12 +73,22 @@ def test_small_tasks_and_a_clash(spark, monkeypatch):
     assert sorted(tuple(r) for r in collocations.collocations(docs, min_count=6).collect()) == want and seeds == [0, 1]
 
 
+def test_two_things_of_one_name_are_noticed():
+    handed = collocations.Handed()
+    rows = np.array([[5, 5, 7, 5], [1, 2, 3, 1], [1, 2, 3, 1]], np.uint64)
+    assert sorted(map(tuple, handed.fresh(rows).T.tolist())) == [(5, 1, 1), (5, 2, 2), (7, 3, 3)]
+    assert sorted(map(tuple, handed.fresh(rows).T.tolist())) == [(5, 2, 2)]  # what differs comes again, what was handed on does not
+    data = np.frombuffer(b"aabbabaa", np.uint8)
+    starts, ends = np.array([0, 2, 4, 6]), np.array([2, 4, 6, 8])
+    assert collocations._equal(data, starts, ends, np.array([0, 0, 1, 3]), np.array([3, 1, 2, 3])).tolist() == [True, False, False, True]
+
+
 def test_summed_and_bitmap(spark):
     rng = np.random.default_rng(1)
-    pairs = rng.integers(0, 5, (2, 500)).astype(np.uint64)
-    rows = np.stack([collocations.pair_names(*pairs, 0), *pairs, np.ones(500, np.uint64)])
-    got = collocations._summed([rows[:, :200], rows[:, 200:]])
-    assert {(int(a), int(b)): int(n) for _, a, b, n in got.T} == Counter((int(a), int(b)) for a, b in pairs.T)
+    names = rng.integers(0, 50, 500).astype(np.uint64)
+    ones = np.ones(500, np.int64)
+    got = collocations._summed([(names[:200], ones[:200]), (names[200:], ones[200:])])
+    assert dict(zip(got[0].tolist(), got[1].tolist(), strict=True)) == Counter(names.tolist())
     names = rng.integers(-(2**63), 2**63 - 1, 3000)
     table = spark.createDataFrame([(int(x),) for x in names], "name long")
     bitmap = collocations._bitmap(table, 3000)
