@@ -94,7 +94,7 @@ def _times(words: Column, clause: Clause, wanted: list[str]) -> Column:
         return F.lit(0)
     if len(wanted) == 1:
         one = wanted[0]
-        holds = {"prefix": lambda w: w.startswith(one), "fuzzy": lambda w: F.levenshtein(w, F.lit(one)) <= clause.edits}.get(clause.kind, lambda w: w == one)
+        holds = {"prefix": lambda w: w.startswith(one), "fuzzy": lambda w: F.length(w).between(len(one) - clause.edits, len(one) + clause.edits) & (F.levenshtein(w, F.lit(one), clause.edits) >= 0)}.get(clause.kind, lambda w: w == one)
         return F.size(F.filter(words, holds))
     last = len(wanted) - 1
     at = lambda i, k: F.get(words, i + k)
@@ -123,20 +123,21 @@ def search(docs: DataFrame, query: str) -> DataFrame:
     spark = docs.sparkSession
     words_of = spark.range(1).select(*(terms(F.lit(c.text)).alias(f"c{i}") for i, c in enumerate(clauses))).first()
     have = {f: (terms(F.coalesce(F.col(f), F.lit(""))) if f in ("title", "content", "source") else F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), F.lower)) for f in FIELDS if f in docs.columns}
-    counted = docs.select("id", *(c.alias(f"_{f}") for f, c in have.items()))
-    fields = lambda c: [f"_{c.field}"] if c.field else ["_title", "_content"]
     if missing := [c.field for c in clauses if c.field and c.field not in have]:
         raise QueryError(f"the documents have no {missing[0]}")
-
-    def times(i: int, c: Clause) -> Column:
-        wanted = [c.text.strip().lower()] if c.field == "tags" else list(words_of[i])
-        total = F.lit(0)
-        for f in fields(c):
-            total = total + _times(F.col(f), c, wanted)
-        return total
-
-    length = F.size("_title") + F.size("_content") if "_title" in counted.columns else F.size("_content")
-    rows = counted.select("id", length.alias("_len"), *(times(i, c).alias(f"_n{i}") for i, c in enumerate(clauses)))
+    fields = lambda c: [c.field] if c.field else [f for f in ("title", "content") if f in have]
+
+    def counts(words: Column) -> Column:
+        """The length of a document and how often each clause holds in it."""
+        made = [sum((F.size(words[f]) for f in ("title", "content") if f in have), F.lit(0)).alias("_len")]
+        for i, c in enumerate(clauses):
+            wanted = [c.text.strip().lower()] if c.field == "tags" else list(words_of[i])
+            made.append(sum((_times(words[f], c, wanted) for f in fields(c)), F.lit(0)).alias(f"_n{i}"))
+        return F.struct(*made)
+
+    # The words are a variable: as an expression they would be made for each use, and in a phrase for each place.
+    words = F.array(F.struct(*(c.alias(f) for f, c in have.items())))
+    rows = docs.select("id", F.get(F.transform(words, counts), F.lit(0)).alias("_m")).select("id", "_m.*")
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("mean"), *(F.sum((F.col(f"_n{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(clauses))))
     rows = rows.join(F.broadcast(stats))  # one row of statistics
     has = lambda i: F.col(f"_n{i}") > 0
