@@ -210,10 +210,15 @@ def visible_characters(x: Column) -> Column:
     return F.length(F.regexp_replace(x, r"[\s\p{P}]", ""))
 
 
-def human_size(n: Column) -> Column:
-    out = F.format_string("%d B", n)
-    for power, unit in enumerate(("KB", "MB", "GB", "TB", "PB", "EB"), 1):
-        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1024**power)), 1))).otherwise(out)
+def human_size(n: Column, units: str = "KMGTPE") -> Column:
+    """Bytes in the largest of ``units`` that is reached, with one decimal, halves to the even one; null stays null."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for power, unit in enumerate(units, 1):
+        # The part behind the point is exact, and so is ten times it below 2**53 bytes: no decimal text of a double is rounded again.
+        x = n.cast("double") / F.lit(float(1024**power))
+        tenths = F.floor(x) * 10 + F.rint((x - F.floor(x)) * 10).cast("long")
+        shown = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}B"))
+        out = F.when(n >= 1024**power, shown).otherwise(out)
     return out
 
 

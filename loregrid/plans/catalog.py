@@ -621,7 +621,8 @@ def browser_epochs(spark, d):
 @query("""SELECT event_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576.0) ELSE printf('%.1f GB', b / 1073741824.0) END AS size
   FROM (SELECT event_id, event_id * event_id * 37 AS b FROM events)""")
 def human_sizes(spark, d):
-    return read(spark, d, "events").select("event_id", T.human_size(F.col("event_id") * F.col("event_id") * 37).alias("size"))
+    """In bytes to gigabytes, like the SQL: a terabyte is 1024.0 GB."""
+    return read(spark, d, "events").select("event_id", T.human_size(F.col("event_id") * F.col("event_id") * 37, "KMG").alias("size"))
 
 
 @query(f"WITH {DOCS} SELECT id, array_to_string(list_distinct_ordered, ',') AS tags FROM (SELECT id, list_filter([lang, CASE WHEN list_contains(tags, 'quality') THEN 'quality' END, CASE WHEN lang <> 'en' THEN 'EN' END], lambda x: x IS NOT NULL) AS list_distinct_ordered FROM docs)")

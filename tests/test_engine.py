@@ -303,3 +303,19 @@ def test_changes(spark):
     assert ingest.insert_ignore(table, spark.createDataFrame([("a", 5), ("d", 1), ("d", 1)], "id string, v int"), "id").count() == 3
     with pytest.raises(ValueError):
         collections.union_ids(table, ["x"], ["y"])
+
+
+def test_sizes_of_terabytes_and_of_null_are_as_in_the_sql(spark, tmp_path):
+    ids = [None, 0, 5, 6, 169, 5387, 172_385, 172_500, 599_999, 5_999_999]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = dict(con.execute(registry.oracle_sql()["human_sizes"]).fetchall())
+    got = {r.event_id: r["size"] for r in registry.queries()["human_sizes"](spark, str(tmp_path)).collect()}
+    assert got == want and got[None] is None and got[599_999].endswith(" GB")
+
+
+def test_halves_of_a_size_go_to_the_even_tenth(spark):
+    sizes = {1280: "1.2 KB", 1792: "1.8 KB", 1048575: "1024.0 KB", 5 << 40: "5.0 TB", 3 << 60: "3.0 EB"}
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", T.human_size(F.col("n")).alias("x")).collect()
+    assert {r.n: r.x for r in rows} == sizes
