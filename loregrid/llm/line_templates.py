@@ -13,7 +13,7 @@ lines of under ``short`` tokens and in ``min_docs_long`` for those of ``long`` t
 The text with the smallest document id keeps the lines of a recurring template; they are dropped
 elsewhere. Exact copies of a text are one text here, so copies alone make nothing recur.
 
-Lines travel as hashes and ids; texts are shuffled once, to their dropped positions. Joins hash the side
+Lines travel as hashes and ids; texts are shuffled twice, to the lines whose tokens are compared and to their dropped positions. Joins hash the side
 whose keys are unique, so that nothing wide is sorted; keys with over a thousandth of all lines are
 broadcast, so that a frequent line never gathers in one task. A leaf gives its BLOCK best forms to a fold at
 a time; what fits none of their representatives is compared with the next ones, so no leaf is gathered.
@@ -28,6 +28,8 @@ no other text has them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,7 @@ BLOCK = 256
 #: A key with more than this share of all lines is heavy: so there are at most so many heavy keys, which are broadcast.
 HEAVY = 1000
 _BLANK = r"[\x20\x09-\x0D]+"
+_TOKEN = r"[^\x20\x09-\x0D]"
 #: What a line of even spaces does not hold (a line feed ends a line).
 _UNEVEN = ["  ", "\t", "\x0b", "\x0c", "\r"]
 #: Starts at the beginning of a token only, and never goes back: linear in the line.
@@ -65,21 +68,37 @@ def _low(pair: str) -> Column:
     return F.pmod(F.col(pair), F.lit(2**60).cast("decimal(38,0)")).cast("long")
 
 
-def parsed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, whole, pos, n, leaf, form, hashes) of every line with a token; whole names the text, hashes are those of the tokens."""
-    lines = docs.filter(named(text_col).isNotNull()).select(
-        named(id_col).alias("id"), _whole(text_col).alias("whole"), F.posexplode(F.split(named(text_col).cast("string"), "\n", -1)).alias("pos", "line")
-    )
+def _normal(lines: DataFrame) -> DataFrame:
+    """``lines`` with single spaces between the tokens of ``line``, and those with a figure as one sign."""
     # Blanks become single spaces first, where they are not yet: parting at one plain character is much cheaper than by a pattern.
     uneven = F.col("line").startswith(" ") | F.col("line").endswith(" ")
     for blank in _UNEVEN:
         uneven = uneven | F.col("line").contains(blank)
-    line = F.when(uneven, F.trim(F.regexp_replace("line", _BLANK, " "))).otherwise(F.col("line"))
-    line = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIGURED, "<*>")).otherwise(line)
-    lines = lines.select("id", "whole", "pos", line.alias("line")).filter("line <> ''").select("id", "whole", "pos", "line", F.split("line", " ").alias("tokens"))
+    lines = lines.withColumn("line", F.when(uneven, F.trim(F.regexp_replace("line", _BLANK, " "))).otherwise(F.col("line")))
+    return lines.withColumn("line", F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", _FIGURED, "<*>")).otherwise(F.col("line")))
+
+
+def parsed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, whole, pos, n, leaf, form) of every line with a token; whole names the text."""
+    lines = docs.filter(named(text_col).isNotNull()).select(
+        named(id_col).alias("id"), _whole(text_col).alias("whole"), F.posexplode(F.split(named(text_col).cast("string"), "\n", -1)).alias("pos", "line")
+    )
+    # Lines without tokens go by the line as it is: a filter on what is made of it would make it twice.
+    lines = _normal(lines.filter(F.col("line").rlike(_TOKEN)))
+    lines = lines.withColumn("tokens", F.split("line", " "))
     n = F.size("tokens")
     leaf = F.xxhash64(n, F.slice("tokens", 1, DEPTH))
-    return lines.select("id", "whole", "pos", n.alias("n"), leaf.alias("leaf"), _digest(F.col("line")).alias("form"), F.transform("tokens", lambda x: F.hash(x)).alias("hashes"))
+    return lines.select("id", "whole", "pos", n.alias("n"), leaf.alias("leaf"), _digest(F.col("line")).alias("form"))
+
+
+def _tokens(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(leaf, form, rank, hashes) of the ``wanted`` lines (id, whole, pos, leaf, form, rank), with the hashes of their tokens; texts without one aren't parted."""
+    at = wanted.groupBy("id", "whole").agg(F.collect_list(F.struct("leaf", "form", "rank", "pos")).alias("at")).hint("shuffle_hash")
+    texts = docs.filter(named(text_col).isNotNull()).select(named(id_col).alias("id"), _whole(text_col).alias("whole"), named(text_col).cast("string").alias("text"))
+    # The lines are a variable: as an expression they would be made for each that is wanted.
+    found = F.transform(F.array(F.split("text", "\n", -1)), lambda lines: F.transform("at", lambda x: F.struct(x["leaf"].alias("leaf"), x["form"].alias("form"), x["rank"].alias("rank"), F.get(lines, x["pos"]).alias("line"))))
+    lines = _normal(texts.join(at, ["id", "whole"]).select(F.inline(F.get(found, F.lit(0)))))
+    return lines.select("leaf", "form", "rank", F.transform(F.split("line", " "), lambda x: F.hash(x)).alias("hashes"))
 
 
 def _meet(rows: DataFrame, keys: DataFrame, on: list[str], bar: int, how: str) -> DataFrame:
@@ -126,17 +145,18 @@ def _folded(open_: DataFrame, alike: int, block: int) -> DataFrame:
     return met.select("leaf", "low", folded.alias("f")).select("leaf", "low", "f.known", "f.out")
 
 
-def _first_fits(forms: DataFrame, tokens: DataFrame, alike: int, block: int = BLOCK) -> DataFrame:
+def _first_fits(forms: DataFrame, lines: DataFrame, tokens: Callable[[DataFrame], DataFrame], alike: int, block: int = BLOCK) -> DataFrame:
     """(leaf, form, template) of the forms in leaves of more than one; their tokens come from the text that owns the form.
 
-    Each round takes a block of every leaf. The forms behind it are split among the tasks like any rows, and a
+    Only the first line of each such form in its text is parsed for them, so what travels with tokens is what meets in a fold. Each round
+    takes a block of every leaf. The forms behind it are split among the tasks like any rows, and a
     join to the few representatives of a hot leaf is split by Spark.
     """
     numbers = forms.filter(F.col("n") >= DEPTH + 2).groupBy("leaf").agg(F.count(F.lit(1)).alias("forms")).filter("forms > 1")
     open_ = forms.join(numbers.select("leaf").hint("shuffle_hash"), "leaf", "left_semi").select("leaf", "form", "owner", _pair("docs", "form").alias("rank"))
-    tokens = tokens.filter(F.col("n") >= DEPTH + 2).select("leaf", "form", _pair("id", "whole").alias("owner"), "hashes")
-    # A text with a form twice gives it twice.
-    open_ = cut(tokens.join(open_.hint("shuffle_hash"), ["leaf", "form", "owner"]).select("leaf", "form", "rank", "hashes").distinct(), small=True)
+    own = lines.filter(F.col("n") >= DEPTH + 2).groupBy("leaf", "form", "id", "whole").agg(F.min("pos").alias("pos")).withColumn("owner", _pair("id", "whole"))
+    # Repeated rows give their lines twice.
+    open_ = cut(tokens(own.join(open_.hint("shuffle_hash"), ["leaf", "form", "owner"])).distinct(), small=True)
     more = (numbers.agg(F.max("forms")).first()[0] or 0) > block
     out = []
     while True:
@@ -156,12 +176,12 @@ def _first_fits(forms: DataFrame, tokens: DataFrame, alike: int, block: int = BL
     return placed
 
 
-def templates(lines: DataFrame, tokens: DataFrame, alike: int = ALIKE, block: int = BLOCK, **limits: int) -> DataFrame:
-    """(leaf, form, template, lines, docs, owner) of the line forms whose template recurs; ``tokens`` are lines with their hashes."""
+def templates(lines: DataFrame, tokens: Callable[[DataFrame], DataFrame], alike: int = ALIKE, block: int = BLOCK, **limits: int) -> DataFrame:
+    """(leaf, form, template, lines, docs, owner) of the line forms whose template recurs; ``tokens`` gives wanted lines the hashes of their tokens."""
     once = lines.groupBy("leaf", "form", "whole").agg(F.count(F.lit(1)).alias("lines"), F.min("id").alias("id"), F.max("n").alias("n"))
     forms = once.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("docs"), F.sum("lines").alias("lines"), F.min(_pair("id", "whole")).alias("owner"), F.max("n").alias("n"))
     forms = cut(forms)
-    placed = _first_fits(forms, tokens, alike, block).hint("shuffle_hash")
+    placed = _first_fits(forms, lines, tokens, alike, block).hint("shuffle_hash")
     forms = forms.join(placed, ["leaf", "form"], "left").withColumn("template", F.coalesce("template", "form"))
     total = forms.groupBy("leaf", "template").agg(F.sum("docs").alias("total"), F.min("owner").alias("first"), F.max("n").alias("n"))
     total = total.filter(F.col("total") >= _bar(**limits)).drop("n")
@@ -184,13 +204,14 @@ def _without(text: Column, gone: Column) -> Column:
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, **limits: int) -> DataFrame:
     """``docs`` without the lines of recurring templates, and two more columns: n_lines and n_dropped (long)."""
     docs = docs.drop(*(c for c in ("n_lines", "n_dropped") if c in docs.columns))
-    tokens = parsed(docs, id_col, text_col)
-    lines = cut(tokens.drop("hashes"))
+    lines = cut(parsed(docs, id_col, text_col))
     # A template has no more lines than its leaf: most leaves hold too few and go before anything wide is shuffled.
     bar = lines.count() // HEAVY + 1
     full = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.max("n").alias("n")).filter(F.col("lines") >= _bar(**limits)).drop("n")
-    lines = cut(_meet(lines, full, ["leaf"], bar, "left_semi"))
-    known = templates(lines, tokens, block=block, **limits).select("leaf", "form", "lines", "owner")
+    # What is met is read three times; written first, it also keeps the plans, and with them the driver's memory, small.
+    lines = cut(_meet(lines, cut(full, small=True), ["leaf"], bar, "left_semi"))
+    known = templates(lines, lambda wanted: _tokens(docs, id_col, text_col, wanted), block=block, **limits)
+    known = cut(known.select("leaf", "form", "lines", "owner"), small=True)
     dropped = _meet(lines.select("id", "whole", "pos", "leaf", "form"), known, ["leaf", "form"], bar, "inner").filter("whole <> owner")
     gone, key, own, whole = free(docs, "gone", "key", "id", "whole")
     dropped = dropped.groupBy(F.col("id").alias(own), F.col("whole").alias(whole)).agg(F.array_sort(F.collect_set("pos")).alias(gone)).hint("shuffle_hash")

@@ -256,3 +256,14 @@ def test_long_lines_recur_from_two_texts(spark):
     long, usual = " ".join(f"w{chr(97 + i % 26)}" for i in range(50)), "one two three four five six seven eight nine"
     texts = [f"{long}\n{usual}\nx", f"{long}\n{usual}\ny"]
     assert kept_lines(spark, texts) == {0: texts[0], 1: f"{usual}\ny"}
+
+
+def test_lines_are_made_once_and_the_last_plan_is_small(spark):
+    docs = spark.createDataFrame([(i, f"one two three four five six {w}\nown {w} {i}") for i, w in enumerate("abcd")], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    # One pattern for blanks and one for figures: a filter on a made line made it again.
+    assert plan(line_templates.parsed(docs, "doc_id", "text")).count("regexp_replace(") == 2
+    out = line_templates.drop_recurring(docs)
+    # What makes the recurring lines is no part of the last plan, where it stood once for each of its three uses.
+    assert plan(out).count("Aggregate [") <= 2 and "Union" in plan(out)
+    assert {r.doc_id: r.n_dropped for r in out.collect()} == {0: 0, 1: 0, 2: 0, 3: 0}
