@@ -319,3 +319,14 @@ def test_halves_of_a_size_go_to_the_even_tenth(spark):
     sizes = {1280: "1.2 KB", 1792: "1.8 KB", 1048575: "1024.0 KB", 5 << 40: "5.0 TB", 3 << 60: "3.0 EB"}
     rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", T.human_size(F.col("n")).alias("x")).collect()
     assert {r.n: r.x for r in rows} == sizes
+
+
+def test_pages_of_a_batch_are_taken_apart_by_bytes(spark):
+    sizes = [0, html.SLICE, 1, html.SLICE // 2, html.SLICE // 2, 0, 3 * html.SLICE, 0]
+    slices = list(html._slices(sizes))
+    assert [i for a, b in slices for i in range(a, b)] == list(range(len(sizes))) and list(html._slices([])) == []
+    assert all(sum(sizes[a:b]) <= html.SLICE or b - a == 1 for a, b in slices)
+    pages = [(i, None if i == 3 else f"<title>t{i}</title><p>{'x ' * 300_000}{i}") for i in range(6)]
+    df = spark.createDataFrame(pages, "page_id long, html string").coalesce(1)
+    for made, plain in ((html.visible, html.visible_text), (html.reader, html.reader_text)):
+        assert {r.page_id: (r.title, r.content) for r in made(df, "html").collect()} == {i: plain(h or "") for i, h in pages}
