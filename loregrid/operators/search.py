@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from loregrid.functions.text import terms
 from loregrid.segments import Segments
 
 K1, B, RRF = 1.2, 0.75, 60
+#: Words that are counted at a time, or one longer document, however many rows a batch has.
+SLICE = 1 << 18
 
 
 def candidates(limit: int) -> int:
     return min(max(20 * max(limit, 1), 200), 5000)
 
 
-def postings(docs: DataFrame, id_col: str = "id", text: str = "content") -> DataFrame:
-    """(term, id, tf, length): the inverted index, to be stored once and read by many searches."""
+def postings(docs: DataFrame, id_col: str = "id", text: str = "content", wanted: list[str] | None = None) -> DataFrame:
+    """(term, id, tf, length): the inverted index, to be stored once and read by many searches; of the ``wanted`` terms only, if any are named.
+
+    A document's words are counted where it is read, so nothing is shuffled; an id that stands in several rows of
+    ``docs`` has a row of each, which readers sum.
+    """
     words = docs.select(F.col(id_col).alias("id"), terms(F.col(text)).alias("words"))
-    return words.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
+    length = F.size("words").alias("length")
+    own = words.select("id", length, "words" if wanted is None else F.filter("words", lambda w: w.isin(wanted)).alias("words"))
+    schema = StructType([StructField("term", StringType()), StructField("id", own.schema["id"].dataType), StructField("tf", LongType()), StructField("length", IntegerType())])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pc.fill_null(pc.list_value_length(b.column("words")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, start = np.cumsum(n), 0
+            while start < len(n):
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] - n[start] + SLICE, "right")))
+                few = b.slice(start, stop - start)
+                coded = few.column("words").flatten().dictionary_encode()
+                size = max(len(coded.dictionary), 1)
+                pairs, tf = np.unique(np.repeat(np.arange(stop - start), n[start:stop]) * size + coded.indices.to_numpy(), return_counts=True)
+                row, term = (pa.array(x) for x in np.divmod(pairs, size))
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(term), few.column("id").take(row), pa.array(tf.astype(np.int64)), few.column("length").take(row)], names=schema.names)
+                start = stop
+
+    return own.mapInArrow(counted, schema)
 
 
 def _score(tf: Column, length: Column, mean: Column, idf: Column) -> Column:
@@ -55,26 +85,27 @@ def _times(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == term))
 
 
+def _summed(own: DataFrame, query_terms: list[str], n: int, mean: float) -> DataFrame:
+    """(id, score) from the postings of the query's terms: a row a document, from which the terms' documents are counted, too."""
+    of = [F.col("term") == t for t in query_terms]
+    rows = own.groupBy("id").agg(*(f(F.when(hit, F.col(c))).alias(f"{c}{i}") for i, hit in enumerate(of) for f, c in ((F.sum, "tf"), (F.max, "length"))))
+    stats = rows.agg(*(F.count(f"tf{i}").alias(f"df{i}") for i in range(len(query_terms))))
+    total = F.lit(0.0)
+    for i in range(len(query_terms)):  # in the query's order, so that the same score comes out whatever the order of the rows
+        idf = F.log(1 + (F.lit(n) - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        total = total + F.coalesce(_score(F.col(f"tf{i}").cast("double"), F.col(f"length{i}"), F.lit(mean), idf), F.lit(0.0))
+    return rows.join(F.broadcast(stats)).select("id", total.alias("score"))  # one row of statistics
+
+
 def lexical_indexed(index: DataFrame, query_terms: list[str], n: int, mean: float) -> DataFrame:
     """The same from stored postings: only the query's terms are read, with the collection's size and mean length."""
-    own = index.filter(F.col("term").isin(query_terms))
-    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = own.join(F.broadcast(df), "term").select("id", _score(F.col("tf").cast("double"), F.col("length"), F.lit(mean), idf).alias("part"))
-    return scored.groupBy("id").agg(F.sum("part").alias("score"))
+    return _summed(index.filter(F.col("term").isin(query_terms)), query_terms, n, mean)
 
 
 def lexical_stored(index: Segments, query_terms: list[str], n: int, length: int) -> DataFrame:
     """(id, score) as ``lexical`` gives them, from the parts of a stored index that hold the query's terms; ``n`` documents have ``length`` terms."""
     own = index.read(term_parts(index.store.spark, query_terms, index.parts())).filter(F.col("term").isin(query_terms))
-    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = own.join(F.broadcast(df), "term").select("id", "term", _score(F.col("tf").cast("double"), F.col("length"), F.lit(length / max(n, 1)), idf).alias("part"))  # a row a term of the query
-    sums = part.groupBy("id").agg(*(F.sum(F.when(F.col("term") == t, F.col("part"))).alias(f"p{i}") for i, t in enumerate(query_terms)))
-    total = F.lit(0.0)
-    for i in range(len(query_terms)):  # in the query's order, so that the same score comes out whatever the order of the rows
-        total = total + F.coalesce(F.col(f"p{i}"), F.lit(0.0))
-    return sums.select("id", total.alias("score"))
+    return _summed(own, query_terms, n, length / max(n, 1))
 
 
 def term_part(term: Column, parts: int) -> Column:

@@ -390,7 +390,7 @@ def bm25_indexed(spark, d):
 @query(f"WITH {DOCS}, {BM25} SELECT term, df.df AS df, (SELECT n FROM st) AS n, round((SELECT mean FROM st), 6) AS mean FROM df")
 def term_statistics(spark, d):
     docs = documents(spark, d)
-    df = search.postings(docs).filter(F.col("term").isin(TERMS)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = search.postings(docs, wanted=TERMS).groupBy("term").agg(F.count_distinct("id").alias("df"))
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.size(T.terms(F.col("content")))), 6).alias("mean"))
     return df.join(F.broadcast(stats))
 

@@ -62,15 +62,18 @@ class Segments:
         """One new segment: ``rows`` of the documents ``ids``, whose older rows go; ``size`` is how many rows or documents count."""
         state = self._state(change.manifest)
         number = self._fresh(change)
-        folder = f"{self.store.root}/{self.name}/v={number}"
-        rows.select(*self.schema.names, part.cast("int").alias("part")).repartition("part").write.partitionBy("part").parquet(folder)
-        filled = [int(n[5:]) for n in self.store._names(f"{self.name}/v={number}") if n.startswith("part=")]
+        filled = self._write(rows.select(*self.schema.names, part.cast("int").alias("part")), number)
         if state["segments"]:
             self._mark(state, ids, number)
-        state["segments"].append({"v": number, "size": size, "filled": sorted(filled)})
+        state["segments"].append({"v": number, "size": size, "filled": filled})
         if len(state["segments"]) > SEGMENTS:
             self.merge(change)
 
+    def _write(self, rows: DataFrame, number: int) -> list[int]:
+        """The parts that have rows. A large part is written by several tasks, small ones by one: tasks grow with the rows, not with the parts."""
+        rows.hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.store.root}/{self.name}/v={number}")
+        return sorted(int(n[5:]) for n in self.store._names(f"{self.name}/v={number}") if n.startswith("part="))
+
     def remove(self, change: Change, ids: DataFrame) -> None:
         state = self._state(change.manifest)
         if state["segments"]:
@@ -99,10 +102,8 @@ class Segments:
             total += own[first]["size"]
         taken = {**state, "segments": own[first:]}
         number = self._fresh(change)
-        folder = f"{self.store.root}/{self.name}/v={number}"
-        self._rows(taken, None).drop("v").repartition("part").write.partitionBy("part").parquet(folder)
-        filled = [int(n[5:]) for n in self.store._names(f"{self.name}/v={number}") if n.startswith("part=")]
-        state["segments"] = [*own[:first], {"v": number, "size": total, "filled": sorted(filled)}]
+        filled = self._write(self._rows(taken, None).drop("v"), number)
+        state["segments"] = [*own[:first], {"v": number, "size": total, "filled": filled}]
         # Marks hide rows of older segments only.
         state["marks"] = [m for m in state["marks"] if first and m["v"] > own[0]["v"]]
 

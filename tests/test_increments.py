@@ -2,6 +2,8 @@
 
 import os
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from loregrid import store as stores
 from loregrid.engine import Engine, NotFound, batched
 from loregrid.operators import search, vector_index
+from loregrid.segments import Segments
 from loregrid.store import Conflict, Store
 
 TAGS = "document_id string, tag string, manual boolean"
@@ -287,3 +290,38 @@ def test_few_lists_hold_the_neighbours_of_clustered_vectors(spark, tmp_path):
         want = {x.chunk_id for x in search.nearest(every, q, 10).collect()}
         hits += len(want & {x.chunk_id for x in index.search(q, 10, probes=2).collect()})
     assert hits >= 0.9 * 80, hits
+
+
+def test_words_are_counted_without_a_shuffle(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(str(i), " ".join(rng.choice(["The", "thin", "é1", "zebra"]) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [("n", None), ("e", " ,;"), ("l", "long " * 500 + "thin")]
+    frame = spark.createDataFrame(rows, "id string, content string").coalesce(1)
+    want = Counter((t, i) for i, text in rows for t in re.findall(r"[^\W_]+", (text or "").lower()))
+    lengths = Counter(i for t, i in want.elements())
+    for most in (1, 50, 1 << 18):
+        monkeypatch.setattr(search, "SLICE", most)
+        made = search.postings(frame)
+        assert sorted(map(tuple, made.collect())) == sorted((t, i, n, lengths[i]) for (t, i), n in want.items())
+        some = search.postings(frame, wanted=["thin", "é1"])
+        assert sorted(map(tuple, some.collect())) == sorted((t, i, n, lengths[i]) for (t, i), n in want.items() if t in ("thin", "é1"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_id_are_summed_by_readers(spark):
+    frame = spark.createDataFrame([("a", "thin thin the"), ("a", "thin it is so"), ("b", "the")], "id string, content string")
+    one = spark.createDataFrame([("the", "a", 1, 3), ("thin", "a", 3, 4), ("the", "b", 1, 1)], "term string, id string, tf long, length int")
+    got, want = ({r.id: r.score for r in search.lexical_indexed(p, ["thin", "the"], 3, 8 / 3).collect()} for p in (search.postings(frame), one))
+    assert set(got) == {"a", "b"} and got == pytest.approx(want, rel=1e-12)
+
+
+def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
+    index = Segments(Store(spark, str(tmp_path)), "postings", "term string, id string, tf long, length int", 1)
+    ids = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("id"))
+    rows = ids.select(F.lit("the").alias("term"), "id", F.lit(1).cast("long").alias("tf"), F.lit(1).alias("length"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        with index.store.change() as c:
+            index.add(c, rows, F.lit(0), ids, 20_000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(files(tmp_path / "postings")) > 1 and index.read().distinct().count() == 20_000
